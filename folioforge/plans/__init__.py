@@ -1,0 +1 @@
+"""Plans that combine operators."""
