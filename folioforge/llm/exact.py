@@ -44,7 +44,7 @@ def keyed_state(rows: DataFrame, checkpoint: str, files_per_batch: int = 10_000)
     spark = rows.sparkSession
     path = rows.inputFiles()[0].rsplit("/", 1)[0]
     key = "spark.sql.streaming.stateStore.providerClass"
-    conf = {key: ROCKS, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200"}
+    conf = {key: ROCKS, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in conf}
     try:
         for k, v in conf.items():
