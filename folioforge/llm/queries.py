@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import exact, langid, mixing, packing, tokenfiles, topk
+from folioforge.llm import exact, langid, licences, mixing, packing, privacy, tokenfiles, topk
 from folioforge.llm.common import table
 
 
@@ -29,6 +29,11 @@ select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5
 """
 
 
+def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.find(table(spark, sf_dir, "documents"))
+    return found.withColumn("base_sha256", F.sha2(F.col("base_spans").cast("binary"), 256)).drop("base_spans")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -52,6 +57,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_documents(tokenfiles.write_sequences(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.labelled_samples(docs))
@@ -63,4 +72,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": TOP_K_SQL, "op4_mixing": mixing.mix_sql(), "op7_exact_dedup": EXACT_SQL}
+    return {"op1_top_k": TOP_K_SQL, "op4_mixing": mixing.mix_sql(), "op7_exact_dedup": EXACT_SQL, "op9_licences": licences.scan_sql()}
