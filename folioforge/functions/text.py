@@ -1,0 +1,62 @@
+"""Scalar rules on text, as column expressions.
+
+A word character is a letter, a number of any kind or an underscore of any script: [\\p{L}\\p{N}_].
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def concept_key(c: Column) -> Column:
+    """Lower case; underscores, hyphens, slashes and colons as blanks; other marks as blanks; blanks collapsed."""
+    x = F.regexp_replace(F.lower(c), "[_/:-]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(x, "[^\\p{L}\\p{N}_\\s]", " "), "\\s+", " "))
+
+
+def singular(w: Column) -> Column:
+    """Plural fold of one word: -ies to -y, -sses to -ss, a final s of words that keep four letters."""
+    n = F.length(w)
+    cut = lambda k: F.left(w, n - k)
+    keep = (n < 4) | w.rlike("(ss|us|is)$") | ~w.endswith("s") | (n - 1 < 4)
+    return F.when(n < 4, w).when(w.endswith("ies") & (n > 4), F.concat(cut(F.lit(3)), F.lit("y"))).when(w.endswith("sses"), cut(F.lit(2))).when(keep, w).otherwise(cut(F.lit(1)))
+
+
+def match_key(c: Column) -> Column:
+    return F.array_join(F.transform(F.split(concept_key(c), " "), singular), " ")
+
+
+def short_hash(c: Column, n: int = 8) -> Column:
+    return F.left(F.sha2(c.cast("binary"), 256), F.lit(n))
+
+
+def question_key(c: Column) -> Column:
+    """Trimmed, lower, blanks collapsed, without one final question mark."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "\\s+", " "), "[?]$", ""))
+
+
+def safe_filename(c: Column, longest: int = 100) -> Column:
+    """Without characters that file systems or links refuse; cut at a word; never empty."""
+    x = F.trim(F.regexp_replace(c, '[*"\\\\/<>:|?#^\\[\\]\\x00-\\x1f]', ""))
+    short = F.regexp_replace(F.substring(x, 1, longest), " [^ ]*$", "")
+    x = F.regexp_replace(F.when(F.length(x) > longest, short).otherwise(x), "[. ]+$", "")
+    return F.when(F.upper(x).rlike("^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$"), F.concat(F.lit("_"), x)).when(x == "", F.lit("untitled")).otherwise(x)
+
+
+def confidence_level(c: Column) -> Column:
+    """low under 0.4, medium under 0.7, else high; what is no number counts as high."""
+    x = c.try_cast("double")
+    return F.when(x < 0.4, "low").when(x < 0.7, "medium").otherwise("high")
+
+
+def content_words(c: Column) -> Column:
+    """Number of words of two or more characters once links, code and markup are gone."""
+    x = F.regexp_replace(F.regexp_replace(c, "https?://[^ \\n]+", " "), "[`*_>#|]+", " ")
+    return F.regexp_count(x, F.lit("[\\p{L}\\p{N}_]{2,}"))
+
+
+def first_paragraph(c: Column, longest: int = 200) -> Column:
+    """The first line that is no heading, cut at `longest` characters."""
+    line = F.get(F.filter(F.split(c, "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("#")), 0)
+    return F.substring(F.trim(line), 1, longest)

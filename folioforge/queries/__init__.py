@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioforge.queries import telemetry
+from folioforge.queries import knowledge, telemetry
 
-MODULES = (telemetry,)
+MODULES = (telemetry, knowledge)
 
 
 def queries() -> dict:

@@ -15,7 +15,7 @@ def metric_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("id"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.col("user_id").alias("vault_id"),
         F.col("event_type").alias("tool"),
         F.get_json_object("props", "$.k").alias("label"),
