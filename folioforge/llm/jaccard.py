@@ -4,7 +4,8 @@ Documents link where their sets of five-word shingles have a Jaccard similarity
 size bands; sets of a band that are similar enough differ in at most k shingles. The domain of shingles is cut into
 first-level parts, each into three second-level parts: some first-level part holds at most one difference, so the two
 sets agree on a pair of its second-level parts, and share that pair's signature. Sets that share a signature are
-candidates; every candidate pair that is not already in one class is verified on the full sets.
+candidates. A candidate pair goes on if counts of shingles by range (its sketch) allow the similarity, and is verified on
+the full sets if it is not already in one class.
 
 An agreement on two empty parts says little, so there are more first-level parts than needed: with SPARE good parts too
 many, a set with at most SPARE parts that have an empty pair shares a signature that is not empty with any similar set,
@@ -30,8 +31,8 @@ from folioforge.llm.shingles import U, mix, set_number, shingle_sets
 
 NUM, DEN = 4, 5
 KEY_BYTES = 5
-#: Sets of one verification group, and bits of the filter that says which documents' sets are needed.
-BLOCK, FILTER_BITS = 512, 1 << 23
+#: Sketches of one group, bytes of full sets in half a verification group, and bits of the filter that says which sets are needed.
+BLOCK, SET_BYTES, FILTER_BITS = 32768, 16_000_000, 1 << 23
 
 
 def _bounds(limit: int = 1 << 40) -> np.ndarray:
@@ -93,15 +94,20 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Shingles in each of 256 ranges, 255 at most. Sets differ in at least as many shingles as these counts do."""
+    return np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=256), 255).astype(np.uint8)
+
+
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), h (number of the set)."""
+    """doc_id, n (set size), h (number of the set), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_number(s) for s in sets], pa.int64())], ["doc_id", "n", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_number(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets])], ["doc_id", "n", "h", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h long, sketch binary")
 
 
 def stars(docs: DataFrame, total: int) -> DataFrame:
@@ -209,84 +215,122 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 class Group:
-    """Sets that are compared with one another: `left` ones with all, the rest only with left ones (if any is marked)."""
-
-    def __init__(self):
-        self.ids: list[int] = []
-        self.sets: list[np.ndarray] = []
-        self.left: list[bool] = []
-
-    def links(self) -> list[tuple[int, int]]:
+    """Sets that are compared with one another: `lead` ones with all, the others with lead ones only."""
+
+    def __init__(self, ids: list[int], lead: list[bool], sizes: list[int], sketches: list[np.ndarray]):
+        order = sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i]))
+        self.order, self.ids, self.lead = order, [ids[i] for i in order], np.array([lead[i] for i in order])
+        self.sizes = np.array([sizes[i] for i in order])
+        self.sketches = np.stack([sketches[i] for i in order]).astype(np.int16)
+        self.coarse = self.sketches.reshape(len(order), 16, 16).sum(axis=2, dtype=np.int32)
+
+    def partners(self, i: int, apart: np.ndarray | None = None) -> np.ndarray:
+        """Earlier sets (no larger ones) that size and sketch let be similar to set i, the likeliest first."""
+        lo = int(np.searchsorted(self.sizes[:i], -(-NUM * int(self.sizes[i]) // DEN)))
+        ok = np.ones(i - lo, dtype=bool) if self.lead[i] else self.lead[lo:i].copy()
+        if apart is not None:
+            ok &= apart[lo:i]
+        cand = np.flatnonzero(ok) + lo
+        most = (DEN - NUM) * (self.sizes[cand] + self.sizes[i]) // (DEN + NUM)
+        cand = cand[np.abs(self.coarse[cand] - self.coarse[i]).sum(axis=1) <= most]
+        least = np.abs(self.sketches[cand] - self.sketches[i]).sum(axis=1, dtype=np.int64)
+        ok = (DEN + NUM) * least <= (DEN - NUM) * (self.sizes[cand] + self.sizes[i])
+        return cand[ok][np.argsort(least[ok], kind="stable")]
+
+    def possible(self) -> list[list[int]]:
+        """Places of the sets, in classes: sets of different classes are not similar. Sets alone are left out."""
+        label = np.arange(len(self.ids))
+        for i in range(1, len(self.ids)):
+            for j in np.unique(label[self.partners(i, label != label[i])]).tolist():
+                label[label == j] = label[i]
+        order = np.argsort(label, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
+        return [x.tolist() for x in parts if len(x) > 1]
+
+    def links(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         """Links that join the group's classes; pairs already in one class are not compared again."""
-        n = len(self.ids)
-        sizes = np.array([len(s) for s in self.sets])
-        order = np.argsort(sizes, kind="stable")
-        sizes = sizes[order]
-        sketch = np.stack([np.bincount((self.sets[i] >> U(58)).astype(np.int64), minlength=64) for i in order]).astype(np.int32)
-        left = np.array(self.left)[order]
-        label = np.arange(n)
+        sets = [sets[i] for i in self.order]
+        label = np.arange(len(sets))
         out = []
-        for i in range(1, n):
-            lo = int(np.searchsorted(sizes[:i], -(-NUM * int(sizes[i]) // DEN)))
-            apart = label[lo:i] != label[i]
-            if not left[i]:
-                apart &= left[lo:i]
-            cand = np.flatnonzero(apart) + lo
-            if not len(cand):
-                continue
-            # sets differ in at least as many shingles as these counts do
-            least = np.abs(sketch[cand] - sketch[i]).sum(axis=1)
-            ok = (DEN + NUM) * least <= (DEN - NUM) * (sizes[cand] + sizes[i])
-            cand = cand[ok][np.argsort(least[ok], kind="stable")]
-            for j in cand.tolist():
-                if label[j] != label[i] and linked(self.sets[order[i]], self.sets[order[j]]):
-                    out.append((self.ids[order[i]], self.ids[order[j]]))
+        for i in range(1, len(sets)):
+            for j in self.partners(i, label != label[i]).tolist():
+                if label[j] != label[i] and linked(sets[i], sets[j]):
+                    out.append((self.ids[i], self.ids[j]))
                     label[label == label[j]] = label[i]
         return out
 
 
-def verify(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows: keys, id, shingles, lead (whether it is compared with all). Links u, v between verified sets of a group."""
+def _grouped(rows: DataFrame, keys: list[str], schema: str, work) -> DataFrame:
+    """work(key, ids, leads, payloads) on each group of rows (keys, id, lead, payload...); it gives tuples of schema.
+
+    Groups come one after another in sorted tasks, so memory is one group and many small ones cost little.
+    """
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    n = len(keys)
+    n, names = len(keys), rows.columns
+    fields = [x.split() for x in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, Group()
-
-        def done():
-            got = group.links() if len(group.ids) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], ["u", "v"])
+        def done(got):
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], kinds[f[1]]) for k, f in enumerate(fields)], [f[0] for f in fields])
 
+        key, held = None, {}
         for batch in batches:
-            names = zip(*(batch.column(k).to_pylist() for k in range(n)))
-            for k, i, s, lead in zip(names, *(batch.column(n + c).to_pylist() for c in range(3))):
-                if k != key:
-                    if len(group.ids) > 1:
-                        yield done()
-                    key, group, seen = k, Group(), set()
-                if i not in seen:
-                    seen.add(i)
-                    group.ids.append(i)
-                    group.sets.append(np.frombuffer(s, np.uint64))
-                    group.left.append(lead)
-        if len(group.ids) > 1:
-            yield done()
-
-    return dealt.select(*keys, "id", "shingles", "lead").mapInArrow(run, "u long, v long")
-
-
-def links(docs: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+            cols = [batch.column(k).to_pylist() for k in range(len(names))]
+            out = []
+            for row in zip(*cols):
+                if row[:n] != key:
+                    if len(held) > 1:
+                        out += work(key, held)
+                    key, held = row[:n], {}
+                held[row[n]] = row[n + 1 :]
+            yield done(out)
+        if len(held) > 1:
+            yield done(work(key, held))
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _survivors(key, held: dict) -> list[tuple]:
+    """Classes of sets that may be similar: class number, a and b (blocks that meet, where the class is long), id, lead."""
+    g = Group(list(held), [x[0] for x in held.values()], [x[1] for x in held.values()], [np.frombuffer(x[2], np.uint8) for x in held.values()])
+    out = []
+    for part in g.possible():
+        ids = [g.ids[i] for i in part]
+        name = set_number(np.array(sorted(ids), dtype=np.int64).view(np.uint64))
+        block = (np.cumsum(8 * g.sizes[part]) // SET_BYTES).tolist()
+        last = block[-1]
+        for i, k in zip(part, block):
+            for a, b in sorted({(min(k, o), max(k, o)) for o in range(last + 1)}):
+                out.append((name, a, b, g.ids[i], bool(g.lead[i])))
+    return out
+
+
+def _links(key, held: dict) -> list[tuple]:
+    sets = [np.frombuffer(x[1], np.uint64) for x in held.values()]
+    return Group(list(held), [x[0] for x in held.values()], [len(s) for s in sets], [sketch(s) for s in sets]).links(sets)
+
+
+def verified(rows: DataFrame, keys: list[str], docs: DataFrame, table: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows: keys, id, lead. Links u, v between similar sets of a group; full sets move only for what the sketches leave."""
+    ids = rows.select("id").distinct()
+    sketches = table.filter("n > 0").join(ids, F.col("h") == F.col("id"), "left_semi").select("h", "n", "sketch").dropDuplicates(["h"])
+    drawn = rows.join(sketches, F.col("id") == F.col("h")).select(*keys, "id", "lead", "n", "sketch")
+    left = staged(_grouped(drawn, keys, "name long, a int, b int, id long, lead boolean", _survivors).groupBy("name", "a", "b", "id").agg(F.max("lead").alias("lead")), "possible")
+    sets = full_sets(docs, needed(left.select("id").distinct(), classes))
+    full = left.join(sets, F.col("id") == F.col("h")).select("name", "a", "b", "id", "lead", "shingles")
+    return staged(_grouped(full, ["name", "a", "b"], "u long, v long", _links), "links")
+
+
+def links(docs: DataFrame, table: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     """Verified links between set numbers that connect every two similar sets."""
     pairs = staged(stars(docs, total), "candidates")
-    counts = pairs.groupBy("pivot").agg(F.count("*").alias("m"))
-    ids = pairs.select(F.col("member").alias("id")).union(pairs.select("pivot")).distinct()
-    sets = full_sets(docs, needed(ids, classes))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    sized = counts.select("pivot", blocks.alias("blocks"))
+    blocks = F.ceil(F.count("*") / BLOCK).cast("int")
+    sized = pairs.groupBy("pivot").agg(blocks.alias("blocks"))
     member = pairs.join(sized, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), F.col("member").alias("id"))
     own = sized.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("id"))
-    rows = member.unionByName(own).join(sets, F.col("id") == F.col("h")).select("pivot", "block", "id", "shingles", F.lit(True).alias("lead"))
-    found = staged(verify(rows, ["pivot", "block"]), "links")
+    rows = staged(member.unionByName(own).withColumn("lead", F.lit(True)), "groups")
+    found = verified(rows, ["pivot", "block"], docs, table, classes)
     large = sized.filter("blocks > 1")
     if large.isEmpty():
         return found
@@ -301,8 +345,7 @@ def links(docs: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     rest = rest.join(per, "pivot").select("pivot", "id", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("lead"))
     every = mine.join(per, "pivot").select("pivot", "id", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("lead"))
     rows = rest.unionByName(every).groupBy("pivot", "chunk", "block", "id").agg(F.max("lead").alias("lead"))
-    rows = rows.join(sets, F.col("id") == F.col("h")).select("pivot", "chunk", "block", "id", "shingles", "lead")
-    return found.unionByName(staged(verify(rows, ["pivot", "chunk", "block"]), "links"))
+    return found.unionByName(verified(staged(rows, "groups"), ["pivot", "chunk", "block"], docs, table, classes))
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
@@ -310,7 +353,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
     table = staged(set_table(docs), "sets")
     classes = staged(table.filter("n > 0").groupBy("h").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("rep"), F.max("n").alias("n")), "classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    label = components(links(docs, classes.select("h", "rep"), total))
+    label = components(links(docs, table, classes.select("h", "rep"), total))
     own = classes.join(label, classes["h"] == label["id"], "left").select("h", "rep", F.coalesce("label", "h").alias("label"))
     least = own.groupBy("label").agg(F.min(F.when(F.col("rep") >= 0, F.col("rep"))).alias("component"))
     of_set = own.join(least, "label").select("h", "component")
