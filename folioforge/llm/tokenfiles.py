@@ -1,8 +1,8 @@
 """Token ids in Arrow files of fixed-size lists: equal-length sequences with masks, readable at any position without copying.
 
 One logical stream: the documents in ascending id order, each its ids and then an end id. It is cut into files by
-ranges of doc_id; a file holds sequences of `width` ids and masks (1 for an id, 0 for the padding of its last row), and
-its metadata says how many ids it holds. Nulls and empty texts: the end id alone. Repeated rows are all written; rows
+ranges of doc_id; a file holds sequences of `width` ids (16 bits each where the vocabulary allows) and masks (a bit each: false for
+the padding of the last row). Nulls and empty texts: the end id alone. Repeated rows are all written; rows
 with the same doc_id stand in the order of their texts. A null doc_id comes first. Extra columns are ignored.
 """
 
@@ -35,13 +35,14 @@ def open_file(path: str):
 class SequenceWriter:
     """Writes ids as record batches of fixed-size lists to one Arrow file; memory is one batch."""
 
-    def __init__(self, path: str, width: int, rows: int = 256):
+    def __init__(self, path: str, width: int, kind: type = np.uint32, rows: int = 256):
         from pyarrow import fs
 
         store, name = fs.FileSystem.from_uri(path)
         store.create_dir(name.rsplit("/", 1)[0], recursive=True)
         self.width, self.block, self.parts, self.held, self.count = width, width * rows, [], 0, 0
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), width)), ("mask", pa.list_(pa.uint8(), width))])
+        self.kind = kind
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), width)), ("mask", pa.list_(pa.bool_(), width))])
         self.sink = store.open_output_stream(name)
         self.writer = pa.ipc.new_file(self.sink, self.schema)
 
@@ -58,8 +59,8 @@ class SequenceWriter:
     def _write(self, flat: np.ndarray, n: int) -> None:
         for at in range(0, len(flat), self.block):
             part = flat[at : at + self.block]
-            mask = (np.arange(at, at + len(part)) < n).astype(np.uint8)
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.width) for x in (part, mask)]
+            mask = np.arange(at, at + len(part)) < n
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.width) for x in (part.astype(self.kind), mask)]
             self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
@@ -82,14 +83,13 @@ class SequenceFile:
         sizes = [self.reader.get_batch(i).num_rows for i in range(self.reader.num_record_batches)]
         self.starts = np.concatenate(([0], np.cumsum(sizes)))
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence k, without a copy."""
+    def sequence(self, k: int) -> tuple[pa.Array, pa.Array]:
+        """Ids and mask of sequence k: slices of the mapped file, without a copy."""
         if self.starts is None:
             self._begin()
         b = int(np.searchsorted(self.starts, k, side="right")) - 1
         batch, row = self.reader.get_batch(b), k - int(self.starts[b])
-        cut = slice(row * self.width, (row + 1) * self.width)
-        return tuple(batch.column(i).flatten().to_numpy()[cut] for i in (0, 1))
+        return tuple(batch.column(i).flatten().slice(row * self.width, self.width) for i in (0, 1))
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """n ids from position start; they may cross sequences and batches."""
@@ -126,7 +126,8 @@ def write_sequences(docs: DataFrame, vocabulary: str, end_id: int = 0, width: in
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
             if writer is None:
-                writer = SequenceWriter(path, width)
+                small = max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
+                writer = SequenceWriter(path, width, np.uint16 if small else np.uint32)
             ids = batch.column(0).to_pylist()
             at, n = [], []
             for got in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
