@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import exact, jaccard, langid, licences, mixing, packing, privacy, tokenfiles, topk
+from folioforge.llm import exact, jaccard, langid, licences, mixing, packing, privacy, repeats, tokenfiles, topk
 from folioforge.llm.common import table
 
 
@@ -42,6 +42,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    n_bytes, kept = F.length("body").cast("long"), F.length("kept").cast("long")
+    return found.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(packing.token_pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
