@@ -3,7 +3,8 @@
 Texts are UTF-8 bytes and windows are all their substrings of LENGTH bytes. Windows are cut into segments: runs of
 neighbours with the same least hash of a GRAM-byte string (their anchor), so equal windows always have equal anchors.
 Segments with equal bytes are counted, not compared: all windows of a segment that occurs twice are repeated. Segments
-that differ but have an anchor in common meet in blocks, whose suffix arrays (linear grouping) tell the repeated windows.
+that differ but have an anchor in common, or hold theirs twice, meet in blocks, whose suffix arrays (linear grouping) tell
+the repeated windows.
 An anchor with many segments is dealt over blocks, and their classes of windows meet by digest.
 
 Only segment numbers travel for text that does not repeat. Null and empty texts, and those shorter than LENGTH, keep all.
@@ -45,27 +46,29 @@ UP, DOWN = _powers(BASE), _powers(pow(BASE, -1, 2**64))
 BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def anchors(text: np.ndarray) -> np.ndarray:
-    """For each window of at most CHUNK: the least hash of its grams."""
+def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of at most CHUNK the least hash of its grams; and the hashes."""
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[text] * UP[: len(text)], dtype=np.uint64)))
     grams = mix((sums[GRAM:] - sums[:-GRAM]) * DOWN[: len(text) - GRAM + 1])
     n = len(grams) - SPAN + 1
     rows = np.concatenate((grams, np.full(-len(grams) % SPAN, U(2**64 - 1)))).reshape(-1, SPAN)
     before = np.minimum.accumulate(rows, axis=1).ravel()
     after = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(after[:n], before[SPAN - 1 : SPAN - 1 + n])
+    return np.minimum(after[:n], before[SPAN - 1 : SPAN - 1 + n]), grams
 
 
-def cut(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of a text: first window, number of windows, anchor."""
+def cut(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of a text: first window, number of windows, anchor, and whether the anchor's gram is in it twice."""
     data = np.frombuffer(text, np.uint8)
-    out = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)]]
+    out = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64), np.zeros(0, np.bool_)]]
     for at in range(0, len(data) - LENGTH + 1, CHUNK):
-        a = anchors(data[at : at + CHUNK + LENGTH - 1])
+        a, grams = anchors(data[at : at + CHUNK + LENGTH - 1])
         begin = np.concatenate(([0], np.flatnonzero(a[1:] != a[:-1]) + 1))
         since = np.arange(len(a)) - np.repeat(begin, np.diff(np.append(begin, len(a))))
         begin = np.flatnonzero(since % SPAN == 0)
-        out.append([begin + at, np.diff(np.append(begin, len(a))), a[begin]])
+        count = np.diff(np.append(begin, len(a)))
+        twice = [np.count_nonzero(grams[b : b + c + SPAN - 1] == v) > 1 for b, c, v in zip(begin.tolist(), count.tolist(), a[begin])]
+        out.append([begin + at, count, a[begin], np.array(twice, dtype=np.bool_)])
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -81,32 +84,34 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def segments(rows: DataFrame) -> DataFrame:
-    """doc, k, run, anchor, and d1, d2: the digest of the segment's bytes."""
+    """doc, k, run, anchor, d1 and d2 (the digest of the segment's bytes), twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 body = body.as_py()
-                begin, count, anchor = cut(body)
+                begin, count, anchor, twice = cut(body)
                 for a in range(0, len(begin), 10000):
                     b = slice(a, a + 10000)
                     view = memoryview(body)
                     d = digests([view[x : x + n + LENGTH - 1] for x, n in zip(begin[b].tolist(), count[b].tolist())])
                     size = len(d)
-                    cols = [np.full(size, doc, np.int64), np.full(size, k, np.int64), (begin[b] << RUN_BITS) + count[b], anchor[b].view(np.int64), d[:, 0], d[:, 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc", "k", "run", "anchor", "d1", "d2"])
+                    cols = [np.full(size, doc, np.int64), np.full(size, k, np.int64), (begin[b] << RUN_BITS) + count[b], anchor[b].view(np.int64), d[:, 0], d[:, 1], twice[b]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc", "k", "run", "anchor", "d1", "d2", "twice"])
 
-    return rows.filter(F.length("body") >= LENGTH).select("doc", "k", "body").mapInArrow(run, "doc long, k long, run long, anchor long, d1 long, d2 long")
+    return rows.filter(F.length("body") >= LENGTH).select("doc", "k", "body").mapInArrow(run, "doc long, k long, run long, anchor long, d1 long, d2 long, twice boolean")
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each wanted segment of a document, with its bytes."""
     names = ["anchor", "block", "blocks", "n", "doc", "k", "run", "body"]
     for batch in batches:
-        for doc, k, body, wanted in zip(*(batch.column(c).to_pylist() for c in range(4))):
+        for doc, k, body, wanted in zip(*(batch.column(c) for c in range(4))):
+            doc, k, body, wanted = doc.as_py(), k.as_py(), body.as_py(), wanted.as_py()
             for at in range(0, len(wanted), 5000):
                 some = wanted[at : at + 5000]
-                parts = [body[w["run"] >> RUN_BITS :][: (w["run"] & 1023) + LENGTH - 1] if len(body) < 4096 else body[w["run"] >> RUN_BITS : (w["run"] >> RUN_BITS) + (w["run"] & 1023) + LENGTH - 1] for w in some]
+                begin = [w["run"] >> RUN_BITS for w in some]
+                parts = [body[a : a + (w["run"] & 1023) + LENGTH - 1] for a, w in zip(begin, some)]
                 cols = [pa.array([w[c] for w in some], pa.int64()) for c in ("anchor", "block", "blocks", "n")]
                 cols += [pa.array([doc] * len(some), pa.int64()), pa.array([k] * len(some), pa.int64()), pa.array([w["run"] for w in some], pa.int64()), pa.array(parts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names)
@@ -161,10 +166,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """doc, k, run: runs of windows that occur elsewhere too; all of them, some perhaps more than once."""
     rows = keyed(docs)
     seg = staged(segments(rows), "segments")
-    parts = [F.first(c).alias(c) for c in ("doc", "k", "run")]
+    parts = [F.first(c).alias(c) for c in ("doc", "k", "run", "twice")]
     classes = staged(seg.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("n"), *parts), "segment-classes")
     copied = seg.join(classes.filter("n > 1").select("anchor", "d1", "d2"), ["anchor", "d1", "d2"], "left_semi").select("doc", "k", "run")
-    shared = classes.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks"))
+    shared = classes.groupBy("anchor").agg(F.count("*").alias("c"), F.max("twice").alias("twice")).filter("c > 1 or twice").select("anchor", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks"))
     block = F.pmod(F.col("d1"), F.col("blocks"))
     wanted = classes.join(shared, "anchor").select("doc", "k", F.struct("anchor", block.alias("block"), "blocks", F.least("n", F.lit(2)).cast("long").alias("n"), "run").alias("w"))
     wanted = wanted.groupBy("doc", "k").agg(F.collect_set("w").alias("wanted"))
