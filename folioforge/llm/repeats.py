@@ -5,7 +5,7 @@ neighbours with the same least hash of a GRAM-byte string (their anchor), so equ
 Segments with equal bytes are counted, not compared: all windows of a segment that occurs twice are repeated. Segments
 that differ but have an anchor in common, or hold theirs twice, meet in blocks, whose suffix arrays (linear grouping) tell
 the repeated windows.
-An anchor with many segments is dealt over blocks, and their classes of windows meet by digest.
+An anchor with many segments is dealt over blocks; there, windows with the same anchor among longer grams meet by digest.
 
 Only segment numbers travel for text that does not repeat. Null and empty texts, and those shorter than LENGTH, keep all.
 Repeated rows are copies of each other: all their windows repeat. Rows with one doc_id, or none, are rows each. Extra
@@ -27,6 +27,8 @@ from folioforge.llm.shingles import U, mix
 from folioforge.llm.suffixes import repeated
 
 LENGTH, GRAM = 400, 128
+#: Grams of the anchors within an anchor's windows, where it has several blocks.
+LONG_GRAM = 384
 #: Grams of a window, and the most windows of a segment.
 SPAN = LENGTH - GRAM + 1
 #: Windows read at a time, segments of one anchor in a block, bytes of blocks that are sorted together.
@@ -46,15 +48,15 @@ UP, DOWN = _powers(BASE), _powers(pow(BASE, -1, 2**64))
 BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def anchors(text: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """For each window of at most CHUNK the least hash of its grams; and the hashes."""
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[text] * UP[: len(text)], dtype=np.uint64)))
-    grams = mix((sums[GRAM:] - sums[:-GRAM]) * DOWN[: len(text) - GRAM + 1])
-    n = len(grams) - SPAN + 1
-    rows = np.concatenate((grams, np.full(-len(grams) % SPAN, U(2**64 - 1)))).reshape(-1, SPAN)
+    grams, span = mix((sums[gram:] - sums[:-gram]) * DOWN[: len(text) - gram + 1]), LENGTH - gram + 1
+    n = len(grams) - span + 1
+    rows = np.concatenate((grams, np.full(-len(grams) % span, U(2**64 - 1)))).reshape(-1, span)
     before = np.minimum.accumulate(rows, axis=1).ravel()
     after = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(after[:n], before[SPAN - 1 : SPAN - 1 + n]), grams
+    return np.minimum(after[:n], before[span - 1 : span - 1 + n]), grams
 
 
 def cut(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -117,49 +119,72 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(cols, names)
 
 
-FOUND = "doc long, k long, run long, d1 long, d2 long, n int"
+FOUND = "doc long, k long, run long, sub long, windows array<struct<run: bigint, d1: bigint, d2: bigint, n: int>>"
+WINDOW = pa.struct([("run", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int32())])
+
+
+def _subs(bodies: list[bytes], string: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For windows in order of string and start: the anchor among their long grams."""
+    out = np.empty(len(string), dtype=np.int64)
+    begin = np.flatnonzero(np.diff(string, prepend=-1))
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(string)]):
+        out[a:b] = anchors(np.frombuffer(bodies[string[a]], np.uint8), LONG_GRAM)[0].view(np.int64)[start[a:b]]
+    return out
 
 
 def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of repeated windows (n null), and for anchors in several blocks, windows by digest with their count n."""
+    """Runs of repeated windows; and for anchors in several blocks, a row for each long anchor of a segment.
+
+    That row holds the windows with that anchor: of each class in the block its first one, with the digest, and how
+    often it occurs (2: at least twice, so it is in a run already).
+    """
 
-    def done(rows: list[tuple]) -> pa.RecordBatch:
+    def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         _, _, blocks, n, doc, k, run, body = zip(*rows)
         string, start, label = repeated(list(body), LENGTH)
         count = np.bincount(label)[label]
         doc, k, first = np.array(doc), np.array(k), np.array(run) >> RUN_BITS
-        several = np.flatnonzero(count > 1)
-        several = several[np.lexsort((start[several], string[several]))]
-        s, p = string[several], start[several]
+
+        def in_order(chosen: np.ndarray) -> np.ndarray:
+            chosen = np.flatnonzero(chosen)
+            return chosen[np.lexsort((start[chosen], string[chosen]))]
+
+        at = in_order(count > 1)
+        s, p = string[at], start[at]
         new = np.ones(len(s), dtype=bool)
         new[1:] = (s[1:] != s[:-1]) | (p[1:] != p[:-1] + 1)
         begin = np.flatnonzero(new)
         size = np.diff(np.append(begin, len(s)))
-        out = [(doc[s[begin]], k[s[begin]], ((first[s[begin]] + p[begin]) << RUN_BITS) + size)]
-        zero = np.zeros(len(begin), np.int64)
-        digest, counts = [np.stack([zero, zero], axis=1)], [zero]
-        wide = np.array(blocks)[string] > 1
-        if wide.any():
-            lead = np.flatnonzero(wide & (np.diff(label, prepend=-1) > 0))
-            parts = [body[a][b : b + LENGTH] for a, b in zip(string[lead].tolist(), start[lead].tolist())]
-            digest.append(digests(parts))
-            counts.append(np.maximum(count[lead], np.array(n)[string[lead]]).clip(1, 2))
-            out.append((doc[string[lead]], k[string[lead]], ((first[string[lead]] + start[lead]) << RUN_BITS) + 1))
-        d = np.concatenate(digest)
-        cols = [*(pa.array(np.concatenate([o[c] for o in out]), pa.int64()) for c in range(3)), pa.array(d[:, 0], pa.int64()), pa.array(d[:, 1], pa.int64()), pa.array(np.concatenate(counts).astype(np.int32))]
-        return pa.RecordBatch.from_arrays(cols, ["doc", "k", "run", "d1", "d2", "n"])
+        s, p = s[begin], p[begin]
+        none = [pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.list_(WINDOW))]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(k[s]), pa.array(((first[s] + p) << RUN_BITS) + size), *none], ["doc", "k", "run", "sub", "windows"])
+
+        at = in_order((np.array(blocks)[string] > 1) & (np.diff(label, prepend=-1) > 0))
+        if not len(at):
+            return
+        s, p = string[at], start[at]
+        sub = _subs(body, s, p)
+        new = np.ones(len(s), dtype=bool)
+        new[1:] = (s[1:] != s[:-1]) | (sub[1:] != sub[:-1])
+        begin = np.flatnonzero(new)
+        d = digests([body[x][y : y + LENGTH] for x, y in zip(s.tolist(), p.tolist())])
+        times = np.maximum(count[at], np.array(n)[s]).clip(1, 2).astype(np.int32)
+        each = pa.StructArray.from_arrays([pa.array(((first[s] + p) << RUN_BITS) + 1), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(times)], fields=list(WINDOW))
+        windows = pa.ListArray.from_arrays(pa.array(np.append(begin, len(s)), pa.int32()), each)
+        of = s[begin]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(k[of]), pa.nulls(len(of), pa.int64()), pa.array(sub[begin]), windows], ["doc", "k", "run", "sub", "windows"])
 
     held, size, key = [], 0, None
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in range(8))):
             if size >= SORTED and row[:2] != key:
-                yield done(held)
+                yield from done(held)
                 held, size = [], 0
             key = row[:2]
             held.append(row)
             size += len(row[7])
     if held:
-        yield done(held)
+        yield from done(held)
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -176,10 +201,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     schema = "anchor long, block long, blocks long, n long, doc long, k long, run long, body binary"
     drawn = rows.join(wanted, ["doc", "k"]).select("doc", "k", "body", "wanted").mapInArrow(_fetch, schema)
     found = staged(drawn.repartition("anchor", "block").sortWithinPartitions("anchor", "block").mapInArrow(_sort_blocks, FOUND), "repeats")
-    wide = found.filter("n > 0")
+    subs = found.filter("sub is not null").select("doc", "k", "sub", "windows")
+    meet = subs.groupBy("sub").agg(F.count("*").alias("c")).filter("c > 1").select("sub")
+    wide = staged(subs.join(meet, "sub", "left_semi").select("doc", "k", F.inline("windows")), "windows")
     again = wide.groupBy("d1", "d2").agg(F.sum("n").alias("total")).filter("total > 1").select("d1", "d2")
     across = wide.filter("n = 1").join(again, ["d1", "d2"], "left_semi").select("doc", "k", "run")
-    return copied.unionByName(found.filter("n = 0").select("doc", "k", "run")).unionByName(across)
+    return copied.unionByName(found.filter("run is not null").select("doc", "k", "run")).unionByName(across)
 
 
 def covered(runs: list[int]) -> list[tuple[int, int]]:
