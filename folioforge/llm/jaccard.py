@@ -4,8 +4,8 @@ Documents link where their sets of five-word shingles have a Jaccard similarity
 size bands; sets of a band that are similar enough differ in at most k shingles. The domain of shingles is cut into
 first-level parts, each into three second-level parts: some first-level part holds at most one difference, so the two
 sets agree on a pair of its second-level parts, and share that pair's signature. Sets that share a signature are
-candidates. A candidate pair goes on if counts of shingles by range (its sketch) allow the similarity, and is verified on
-the full sets if it is not already in one class.
+candidates. A candidate pair goes on if counts of shingles by range (its sketch) allow the similarity, first over 256
+ranges, then over as many as half the set's size, and is verified on the full sets if it is not already in one class.
 
 An agreement on two empty parts says little, so there are more first-level parts than needed: with SPARE good parts too
 many, a set with at most SPARE parts that have an empty pair shares a signature that is not empty with any similar set,
@@ -18,6 +18,7 @@ is the smallest doc_id, nulls left out. Extra columns are ignored. An empty tabl
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ from folioforge.llm.shingles import U, mix, set_number, shingle_sets
 
 NUM, DEN = 4, 5
 KEY_BYTES = 5
-#: Sketches of one group, bytes of full sets in half a verification group, and bits of the filter that says which sets are needed.
-BLOCK, SET_BYTES, FILTER_BITS = 32768, 16_000_000, 1 << 23
+#: Sketches of one group, bytes of fine sketches and of full sets in half a group, and bits of the filter that says which sets are needed.
+BLOCK, FINE_BYTES, SET_BYTES, FILTER_BITS = 32768, 4_000_000, 16_000_000, 1 << 23
 
 
 def _bounds(limit: int = 1 << 40) -> np.ndarray:
@@ -94,20 +95,35 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Shingles in each of 256 ranges, 255 at most. Sets differ in at least as many shingles as these counts do."""
-    return np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=256), 255).astype(np.uint8)
+def ranges(size: int) -> int:
+    """Ranges of a set's fine sketch: a power of two, 256 at least, half its size or more."""
+    return 1 << max(8, (size - 1).bit_length() - 1)
+
+
+def sketch(s: np.ndarray, cells: int = 256) -> np.ndarray:
+    """Shingles in each of a power of two of ranges, 255 at most. Sets differ in at least as many shingles as these counts do."""
+    return np.minimum(np.bincount((s >> U(65 - cells.bit_length())).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8)
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), h (number of the set), sketch."""
+    """doc_id, n (set size), h (number of the set), sketch, fine (null where it is the sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_number(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets])], ["doc_id", "n", "h", "sketch"])
+            fine = [packed(sketch(s, ranges(len(s)))) if ranges(len(s)) > 256 else None for s in sets]
+            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_number(s) for s in sets], pa.int64()), pa.array([packed(sketch(s)) for s in sets], pa.binary()), pa.array(fine, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *cols], ["doc_id", "n", "h", "sketch", "fine"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h long, sketch binary, fine binary")
 
 
 def stars(docs: DataFrame, total: int) -> DataFrame:
@@ -215,14 +231,23 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 class Group:
-    """Sets that are compared with one another: `lead` ones with all, the others with lead ones only."""
+    """Sets that are compared with one another: `lead` ones with all, the others with lead ones only.
+
+    Sketches have 256 ranges, or as many as `ranges` says.
+    """
 
     def __init__(self, ids: list[int], lead: list[bool], sizes: list[int], sketches: list[np.ndarray]):
         order = sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i]))
         self.order, self.ids, self.lead = order, [ids[i] for i in order], np.array([lead[i] for i in order])
         self.sizes = np.array([sizes[i] for i in order])
-        self.sketches = np.stack([sketches[i] for i in order]).astype(np.int16)
-        self.coarse = self.sketches.reshape(len(order), 16, 16).sum(axis=2, dtype=np.int32)
+        held = [sketches[i] for i in order]
+        self.coarse = np.stack([x.reshape(16, -1).sum(axis=1, dtype=np.int32) for x in held])
+        self.cells = np.array([len(x) for x in held])
+        # For each number of ranges: the first set that has as many, and the counts of sets with as many or twice as many.
+        self.levels = {}
+        for m in np.unique(self.cells).tolist():
+            a, b = np.searchsorted(self.cells, [m, 2 * m + 1]).tolist()
+            self.levels[m] = (a, np.stack([held[i].reshape(m, -1).sum(axis=1, dtype=np.int16) for i in range(a, b)]))
 
     def partners(self, i: int, apart: np.ndarray | None = None) -> np.ndarray:
         """Earlier sets (no larger ones) that size and sketch let be similar to set i, the likeliest first."""
@@ -233,7 +258,11 @@ class Group:
         cand = np.flatnonzero(ok) + lo
         most = (DEN - NUM) * (self.sizes[cand] + self.sizes[i]) // (DEN + NUM)
         cand = cand[np.abs(self.coarse[cand] - self.coarse[i]).sum(axis=1) <= most]
-        least = np.abs(self.sketches[cand] - self.sketches[i]).sum(axis=1, dtype=np.int64)
+        least = np.zeros(len(cand), dtype=np.int64)
+        for m in np.unique(self.cells[cand]).tolist():
+            first, counts = self.levels[m]
+            at = np.flatnonzero(self.cells[cand] == m)
+            least[at] = np.abs(counts[cand[at] - first] - counts[i - first]).sum(axis=1, dtype=np.int64)
         ok = (DEN + NUM) * least <= (DEN - NUM) * (self.sizes[cand] + self.sizes[i])
         return cand[ok][np.argsort(least[ok], kind="stable")]
 
@@ -291,32 +320,47 @@ def _grouped(rows: DataFrame, keys: list[str], schema: str, work) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def _survivors(key, held: dict) -> list[tuple]:
-    """Classes of sets that may be similar: class number, a and b (blocks that meet, where the class is long), id, lead."""
-    g = Group(list(held), [x[0] for x in held.values()], [x[1] for x in held.values()], [np.frombuffer(x[2], np.uint8) for x in held.values()])
-    out = []
-    for part in g.possible():
-        ids = [g.ids[i] for i in part]
-        name = set_number(np.array(sorted(ids), dtype=np.int64).view(np.uint64))
-        block = (np.cumsum(8 * g.sizes[part]) // SET_BYTES).tolist()
-        last = block[-1]
-        for i, k in zip(part, block):
-            for a, b in sorted({(min(k, o), max(k, o)) for o in range(last + 1)}):
-                out.append((name, a, b, g.ids[i], bool(g.lead[i])))
-    return out
+def _survivors(weight, limit: int):
+    """Work on groups with lead, n and sketch: classes of sets that may be similar, in blocks of a total weight.
+
+    It gives class number, a and b (blocks that meet, where the class is long), id, lead.
+    """
+
+    def work(key, held: dict) -> list[tuple]:
+        g = Group(list(held), [x[0] for x in held.values()], [x[1] for x in held.values()], [unpacked(x[2]) for x in held.values()])
+        out = []
+        for part in g.possible():
+            ids = [g.ids[i] for i in part]
+            name = set_number(np.array(sorted(ids), dtype=np.int64).view(np.uint64))
+            block = (np.cumsum([weight(n) for n in g.sizes[part].tolist()]) // limit).tolist()
+            last = block[-1]
+            for i, k in zip(part, block):
+                for a, b in sorted({(min(k, o), max(k, o)) for o in range(last + 1)}):
+                    out.append((name, a, b, g.ids[i], bool(g.lead[i])))
+        return out
+
+    return work
 
 
 def _links(key, held: dict) -> list[tuple]:
     sets = [np.frombuffer(x[1], np.uint64) for x in held.values()]
-    return Group(list(held), [x[0] for x in held.values()], [len(s) for s in sets], [sketch(s) for s in sets]).links(sets)
+    return Group(list(held), [x[0] for x in held.values()], [len(s) for s in sets], [sketch(s, ranges(len(s))) for s in sets]).links(sets)
+
+
+def _possible(rows: DataFrame, keys: list[str], sketches: DataFrame, work) -> DataFrame:
+    """The classes that work makes of the groups in rows, with the sketches (h, n, sketch) of their sets."""
+    wanted = sketches.join(rows.select(F.col("id").alias("h")).distinct(), "h", "left_semi").dropDuplicates(["h"])
+    drawn = rows.join(wanted, F.col("id") == F.col("h")).select(*keys, "id", "lead", "n", "sketch")
+    left = _grouped(drawn, keys, "name long, a int, b int, id long, lead boolean", work)
+    return staged(left.groupBy("name", "a", "b", "id").agg(F.max("lead").alias("lead")), "possible")
 
 
 def verified(rows: DataFrame, keys: list[str], docs: DataFrame, table: DataFrame, classes: DataFrame) -> DataFrame:
     """rows: keys, id, lead. Links u, v between similar sets of a group; full sets move only for what the sketches leave."""
-    ids = rows.select("id").distinct()
-    sketches = table.filter("n > 0").join(ids, F.col("h") == F.col("id"), "left_semi").select("h", "n", "sketch").dropDuplicates(["h"])
-    drawn = rows.join(sketches, F.col("id") == F.col("h")).select(*keys, "id", "lead", "n", "sketch")
-    left = staged(_grouped(drawn, keys, "name long, a int, b int, id long, lead boolean", _survivors).groupBy("name", "a", "b", "id").agg(F.max("lead").alias("lead")), "possible")
+    some = table.filter("n > 0")
+    left = _possible(rows, keys, some.select("h", "n", "sketch"), _survivors(ranges, FINE_BYTES))
+    fine = some.select("h", "n", F.coalesce("fine", "sketch").alias("sketch"))
+    left = _possible(left, ["name", "a", "b"], fine, _survivors(lambda n: 8 * n, SET_BYTES))
     sets = full_sets(docs, needed(left.select("id").distinct(), classes))
     full = left.join(sets, F.col("id") == F.col("h")).select("name", "a", "b", "id", "lead", "shingles")
     return staged(_grouped(full, ["name", "a", "b"], "u long, v long", _links), "links")
