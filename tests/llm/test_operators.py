@@ -74,6 +74,38 @@ def test_jaccard(spark, texts, monkeypatch):
     assert jaccard.classes_of(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_jaccard_of_long_texts(spark, monkeypatch):
+    """Fine sketches: sizes about the powers of two where their number of ranges changes, half-shared and nearly equal texts."""
+    rng = np.random.default_rng(11)
+    words = [f"v{k}" for k in range(5000)]
+    out = []
+    for n in (514, 520, 1030, 2060):
+        base = list(rng.choice(words, n))
+        out.append(" ".join(base[: n // 2] + list(rng.choice(words, n // 2))))
+        for e in (0, n // 60, n // 50, n // 45, n // 40, n // 30):
+            near = list(base[: n - int(rng.integers(0, 8))])
+            for at in rng.choice(len(near), e, replace=False):
+                near[at] = "edit"
+            out.append(" ".join(near))
+    want = plain_classes(out)
+    for fine, size in ((jaccard.FINE_BYTES, jaccard.SET_BYTES), (2000, 20000)):
+        monkeypatch.setattr(jaccard, "FINE_BYTES", fine)
+        monkeypatch.setattr(jaccard, "SET_BYTES", size)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes_of(frame(spark, out)).collect()} == want
+
+
+def test_sketches_never_part_similar_sets():
+    rng = np.random.default_rng(12)
+    for n in (5, 300, 511, 513, 514, 570, 1025, 3000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) << np.uint64(1))
+            d = int(rng.integers(0, n // 9 + 1))
+            b = np.unique(np.concatenate((a[d:], rng.integers(0, 2**63, int(rng.integers(0, d + 1)), dtype=np.uint64))))
+            for cells in (lambda m: 256, jaccard.ranges):
+                g = jaccard.Group([1, 2], [True, True], [len(a), len(b)], [jaccard.sketch(x, cells(len(x))) for x in (a, b)])
+                assert not jaccard.linked(a, b) or g.partners(1).tolist() == [0]
+
+
 def test_signatures_meet():
     rng = np.random.default_rng(1)
     for n in (5, 9, 30, 200, 3000):
