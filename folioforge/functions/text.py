@@ -60,3 +60,37 @@ def first_paragraph(c: Column, longest: int = 200) -> Column:
     """The first line that is no heading, cut at `longest` characters."""
     line = F.get(F.filter(F.split(c, "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("#")), 0)
     return F.substring(F.trim(line), 1, longest)
+
+
+def tag(c: Column) -> Column:
+    """Lower case, blanks as hyphens, only word characters, slashes and hyphens, a letter or number first. Texts are NFC."""
+    x = F.regexp_replace(F.replace(F.lower(F.trim(c)), F.lit(" "), F.lit("-")), "[^\\p{L}\\p{N}_/-]", "")
+    return F.regexp_replace(x, "^[^\\p{L}\\p{N}]+", "")
+
+
+def base_name(c: Column) -> Column:
+    """Without an upper-case abbreviation in brackets at the end."""
+    short = F.regexp_extract(c, "\\(([^()]+)\\)$", 1)
+    upper = (short == F.upper(short)) & (short != F.lower(short))
+    return F.when(upper, F.trim(F.regexp_replace(c, "\\s*\\([^()]+\\)$", ""))).otherwise(c)
+
+
+def heading(c: Column, within: int = 400) -> Column:
+    """The first heading of level 1 to 3 near the start, else the first bold line; null if there is none."""
+    start = F.substring(c, 1, within)
+    first = lambda p: F.nullif(F.trim(F.regexp_extract(start, p, 1)), F.lit(""))
+    return F.coalesce(first("(?m)^#{1,3}[ \\t]+([^\\n]+)$"), first("(?m)^\\*\\*([^*\\n]+)\\*\\*[ \\t]*$"))
+
+
+def heading_slug(c: Column, longest: int = 40) -> Column:
+    x = F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.nullif(F.substring(x, 1, longest), F.lit(""))
+
+
+def without_clip_header(c: Column, lines: int = 30, words: int = 5) -> Column:
+    """Without tags, and short lines that are no Markdown, in the first lines; later lines stay as they are."""
+    every = F.split(c, "\n")
+    plain = F.transform(F.slice(every, 1, lines), lambda x: F.regexp_replace(x, "<[^>]+>", ""))
+    short = lambda x: (F.regexp_count(x, F.lit("\\S+")).between(1, words)) & ~F.trim(x).rlike("^[#*>\\[!-]")
+    head = F.filter(plain, lambda x: ~short(x))
+    return F.array_join(F.concat(head, F.slice(every, lines + 1, F.greatest(F.size(every), F.lit(1)))), "\n")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioforge.queries import knowledge, telemetry
+from folioforge.queries import compile, knowledge, telemetry
 
-MODULES = (telemetry, knowledge)
+MODULES = (telemetry, knowledge, compile)
 
 
 def queries() -> dict:
