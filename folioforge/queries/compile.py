@@ -125,11 +125,10 @@ def fold_collisions(spark, d):
     return identity.fold_collisions(identity.keyed(p.unionByName(plural).withColumn("role", F.lit("preferred"))))
 
 
-@add("orphan_segments", "select conv_id, turn from conversations left join documents on doc_id = conv_id * 9 where doc_id is null")
+@add("orphan_segments", "select d.doc_id from documents d left join labels l on l.doc_id = d.doc_id where l.doc_id is null")
 def orphan_segments(spark, d):
-    """Segments whose document is missing."""
-    own = table(spark, d, "documents").select(F.col("doc_id").alias("of"))
-    return table(spark, d, "conversations").join(own, F.col("conv_id") * 9 == F.col("of"), "left_anti").select("conv_id", "turn")
+    """Rows whose partner is missing: documents without a label."""
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 @add("section_of_page", "select doc_id as page, n_name as section from documents join nation on doc_id between n_nationkey * 37 and n_nationkey * 37 + 30")
