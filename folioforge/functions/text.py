@@ -8,6 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space and line ends of any script, inside a character class and as a pattern.
+BLANK = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^[{BLANK}]+|[{BLANK}]+\z", "")
+
 
 def concept_key(c: Column) -> Column:
     """Lower case; underscores, hyphens, slashes and colons as blanks; other marks as blanks; blanks collapsed."""
@@ -56,10 +64,27 @@ def content_words(c: Column) -> Column:
     return F.regexp_count(x, F.lit("[\\p{L}\\p{N}_]{2,}"))
 
 
-def first_paragraph(c: Column, longest: int = 200) -> Column:
-    """The first line that is no heading, cut at `longest` characters."""
-    line = F.get(F.filter(F.split(c, "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("#")), 0)
-    return F.substring(F.trim(line), 1, longest)
+def first_paragraph(c: Column, longest: int = 200, within: int = 250, least: int = 20) -> Column:
+    """The first line that is no heading and has text without links, citations and markup; a long one up to its sentence end, else a word.
+
+    The sentence end counts if it is the first one `within` the line and not before `least`; a cut at a word gets an ellipsis.
+    """
+
+    def clean(raw: Column) -> Column:
+        x = strip(raw)
+        y = F.regexp_replace(x, r"\[\[(?:[^\]|]+\|)?([^\]]+)\]\]", "$1")
+        y = F.regexp_replace(F.regexp_replace(y, r"\[S\p{Nd}+\]\(#[^)]+\)", ""), "[*_]{1,2}([^*_]+)[*_]{1,2}", "$1")
+        y = F.regexp_replace(F.regexp_replace(strip(y), f"[{BLANK}]+([.,;:])", "$1"), f"[{BLANK}]{{2,}}", " ")
+        return F.when(x.rlike(f"^#{{1,6}}[{BLANK}]"), "").otherwise(strip(y))
+
+    def cut(x: Column) -> Column:
+        sentence = F.regexp_extract(F.substring(x, 1, within), rf"(?s)^(.*?[.!?])(?:[{BLANK}]|\z)", 1)
+        word = F.regexp_replace(F.regexp_replace(F.substring(x, 1, longest), r" [^ ]*\z", ""), r"[.,;:]+\z", "")
+        short = F.when(F.length(sentence) > least, sentence).when(word != "", F.concat(word, F.lit("\u2026")))
+        return F.when(F.length(x) <= longest, x).otherwise(short)
+
+    lines = F.transform(F.split(c, LINE_END), clean)
+    return F.get(F.transform(F.slice(F.filter(lines, lambda x: x != ""), 1, 1), cut), 0)
 
 
 def tag(c: Column) -> Column:
