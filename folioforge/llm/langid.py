@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 BLOCK = 1024
 SLICE = 1_000_000
-WIDTH = 64
-#: Symbols: 0 blank, 1 a letter that no sample has, 2.. letters, WIDTH - 1 the end of a short block.
-PAD = WIDTH - 1
+#: Symbols: 0 blank, 1 a letter that no sample has, 2.. every letter of the samples, the last one the end of a short block.
+#: An automaton over more symbols than DENSE is a sparse table over the symbols of its own language.
+DENSE = 256
 OUT = "doc_id long, lang_pred string, score double"
 
 
@@ -61,19 +61,52 @@ class SuffixAutomaton:
         self.link[q] = self.link[cur] = copy
         return cur
 
-    def parser(self) -> np.ndarray:
-        """Flat table of the greedy parse: at state * WIDTH + symbol, (next state * WIDTH) << 2 | phrases that end."""
-        n = len(self.next)
-        start = np.full(WIDTH, 1, dtype=np.int64)  # a symbol that the text lacks is a phrase by itself
-        for c, t in self.next[0].items():
-            start[c] = (t * WIDTH) << 2
+    def parser(self, width: int) -> Dense | Sparse:
+        """The greedy parse over symbols below width, of which the last is the end of a short block."""
+        return (Dense if width <= DENSE else Sparse)(self.next, width)
+
+
+def _from_start(first: dict[int, int], width: int) -> np.ndarray:
+    """At each symbol, what Dense has at the first state."""
+    start = np.full(width, 1, dtype=np.int64)  # a symbol that the text lacks is a phrase by itself
+    for c, t in first.items():
+        start[c] = (t * width) << 2
+    return start
+
+
+class Dense:
+    """Flat table: at state * width + symbol, (next state * width) << 2 | phrases that end."""
+
+    def __init__(self, rows: list[dict[int, int]], width: int):
+        n = len(rows)
+        start = _from_start(rows[0], width)
         table = np.tile(start + 1, (n, 1))
         table[0] = start
-        for s, row in enumerate(self.next):
+        for s, row in enumerate(rows):
             for c, t in row.items():
-                table[s, c] = (t * WIDTH) << 2
-        table[:, PAD] = (np.arange(n) * WIDTH) << 2
-        return table.reshape(-1).astype(np.int32 if n * WIDTH < 2**28 else np.int64)
+                table[s, c] = (t * width) << 2
+        table[:, width - 1] = (np.arange(n) * width) << 2
+        self.table = table.reshape(-1).astype(np.int32 if n * width < 2**28 else np.int64)
+        self.dtype = self.table.dtype
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        return self.table.take(state + symbols)
+
+
+class Sparse:
+    """The same numbers as Dense for wide alphabets: sorted transitions, and the first state's row where there is none."""
+
+    dtype = np.dtype(np.int64)
+
+    def __init__(self, rows: list[dict[int, int]], width: int):
+        self.start = _from_start(rows[0], width)
+        there = sorted((s * width + c, (t * width) << 2) for s, row in enumerate(rows) for c, t in row.items())
+        self.keys, self.values = (np.array(x, dtype=np.int64) for x in zip(*there, (len(rows) * width, 0)))
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        key = state + symbols
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys.take(at) == key, self.values.take(at), self.start.take(symbols) + (state > 0))
 
 
 class Model:
@@ -84,23 +117,28 @@ class Model:
 
         self.langs = sorted(samples)
         seen = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
-        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: WIDTH - 3]]
-        self.symbol = np.zeros(0x110000, dtype=np.uint8)
+        letters = {c: k + 2 for k, c in enumerate(sorted(seen, key=lambda c: (-seen[c], c)))}
+        self.width = len(letters) + 3
+        self.symbol = np.zeros(0x110000, dtype=np.uint8 if self.width <= 256 else np.uint16 if self.width <= 65536 else np.uint32)
         for c in range(0x110000):
             if (x := chr(c)).isalpha():
-                self.symbol[c] = 1
-                if c > 127 or x.isupper():
-                    low = x.lower()
-                    if low[:1] in letters:
-                        self.symbol[c] = 2 + letters.index(low[0])
-        for k, c in enumerate(letters):
-            self.symbol[ord(c)] = k + 2
-        self.parsers = []
+                self.symbol[c] = letters.get(x.lower()[:1], 1)
+        for c, k in letters.items():
+            self.symbol[ord(c)] = k
+        self.parsers, self.own = [], []
         for lang in self.langs:
             symbols: list[int] = []
             for text in samples[lang]:
                 symbols += [*self.symbols(text).tolist(), 0]
-            self.parsers.append(SuffixAutomaton(symbols).parser())
+            if self.width <= DENSE:
+                self.own.append(None)
+                self.parsers.append(SuffixAutomaton(symbols).parser(self.width))
+                continue
+            here = sorted({c for c in symbols if c > 1})  # letters of other languages alone are unseen in this one
+            own = np.ones(self.width, dtype=np.int64)
+            own[0], own[here], own[self.width - 1] = 0, np.arange(len(here)) + 2, len(here) + 2
+            self.own.append(own)
+            self.parsers.append(SuffixAutomaton(own[symbols].tolist()).parser(len(here) + 3))
 
     def symbols(self, text: str) -> np.ndarray:
         got = self.symbol[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
@@ -125,16 +163,16 @@ class Model:
             return out, letter
         sizes = np.array([len(b) for b in blocks])
         order = np.argsort(-sizes, kind="stable")
-        grid = np.full((BLOCK, len(blocks)), PAD, dtype=np.uint8)
+        grid = np.full((BLOCK, len(blocks)), self.width - 1, dtype=self.symbol.dtype)
         for k, b in enumerate(order):
             grid[: sizes[b], k] = blocks[b]
         active = np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), side="left")
         who = np.array(owner)[order]
-        for lang, table in enumerate(self.parsers):
-            state = np.zeros(len(blocks), dtype=table.dtype)
-            count = np.zeros(len(blocks), dtype=table.dtype)
+        for lang, (parser, own) in enumerate(zip(self.parsers, self.own)):
+            state = np.zeros(len(blocks), dtype=parser.dtype)
+            count = np.zeros(len(blocks), dtype=parser.dtype)
             for t, n in enumerate(active.tolist()):
-                v = table.take(state[:n] + grid[t, :n])
+                v = parser.step(state[:n], grid[t, :n] if own is None else own.take(grid[t, :n]))
                 count[:n] += v & 3
                 state[:n] = v >> 2
             count += state > 0
