@@ -191,7 +191,8 @@ def stars(docs: DataFrame, total: int) -> DataFrame:
 
 def needed(ids: DataFrame, classes: DataFrame) -> np.ndarray:
     """A bit filter of fixed size over (set number, first document) of the sets with these ids."""
-    slot = F.col("h").bitwiseXOR(F.col("rep")).bitwiseXOR(F.shiftleft("rep", 17)).bitwiseAND(F.lit(FILTER_BITS - 1))
+    first = F.coalesce(F.col("rep"), F.lit(-1))  # as full_sets has it for rows without a doc_id
+    slot = F.col("h").bitwiseXOR(first).bitwiseXOR(F.shiftleft(first, 17)).bitwiseAND(F.lit(FILTER_BITS - 1))
     slots = ids.join(classes, ids["id"] == classes["h"]).select(slot.alias("s")).distinct()
     words = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
     out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
@@ -395,11 +396,11 @@ def links(docs: DataFrame, table: DataFrame, classes: DataFrame, total: int) ->
 def classes_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     table = staged(set_table(docs), "sets")
-    classes = staged(table.filter("n > 0").groupBy("h").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("rep"), F.max("n").alias("n")), "classes")
+    classes = staged(table.filter("n > 0").groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     label = components(links(docs, table, classes.select("h", "rep"), total))
     own = classes.join(label, classes["h"] == label["id"], "left").select("h", "rep", F.coalesce("label", "h").alias("label"))
-    least = own.groupBy("label").agg(F.min(F.when(F.col("rep") >= 0, F.col("rep"))).alias("component"))
+    least = own.groupBy("label").agg(F.min("rep").alias("component"))
     of_set = own.join(least, "label").select("h", "component")
     filled = table.filter("n > 0").join(of_set, "h").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return filled.unionByName(table.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
