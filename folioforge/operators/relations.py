@@ -1,4 +1,4 @@
-"""Relations between concepts: upsert, closed graph, neighbours."""
+"""Relations between concepts: upsert, neighbours."""
 
 from __future__ import annotations
 
