@@ -2,12 +2,14 @@
 
 Both vocabularies split a text into pre-tokens by a pattern and encode each by itself. Here numpy finds the
 pre-tokens of ordinary Latin texts, the library encodes each distinct one once, and the ids are gathered. A text
-with a character outside that range, an apostrophe (contraction rules) or NUL goes to the library whole.
+with a character outside that range, an apostrophe (contraction rules), NUL or a string of an added token goes to the
+library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 
 import numpy as np
@@ -48,7 +50,8 @@ class PreTokenEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(re.escape(t.content) for t in added) or "(?!)", re.IGNORECASE if any(t.normalized for t in added) else 0)
         self.keep_spaces, self.limit, self.block_chars = keep_spaces, cache, block_chars
         self.kinds = _classes()
         rng = np.random.default_rng(20240607)
@@ -77,7 +80,7 @@ class PreTokenEncoder:
         block: list[int] = []
         size = 0
         for i, text in enumerate(texts):
-            if "'" in text or "\0" in text or "\u0130" in text or len(text) > self.block_chars:
+            if "'" in text or "\0" in text or "\u0130" in text or len(text) > self.block_chars or self.added.search(text):
                 out[i] = self._whole([text])[0]
                 continue
             if block and size + len(text) > self.block_chars:
