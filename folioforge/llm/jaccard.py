@@ -2,9 +2,10 @@
 
 Documents link where their sets of five-word shingles have a Jaccard similarity of at least NUM / DEN. Sets are put into
 size bands; sets of a band that are similar enough differ in at most k shingles. The domain of shingles is cut into
-first-level parts, each into three second-level parts: some first-level part holds at most one difference, so the two
-sets agree on a pair of its second-level parts, and share that pair's signature. Sets that share a signature are
-candidates. A candidate pair goes on if counts of shingles by range (its sketch) allow the similarity, first over 256
+first-level parts, each into second-level parts, so many that some first-level part holds at most d differences: the two
+sets agree on some subset of its second-level parts, and share that subset's signature. Sets that share a signature are
+candidates. Small sets have one or two first-level parts and subsets that hold half their shingles or more; larger ones
+have many, and pairs out of three. A candidate pair goes on if counts of shingles by range (its sketch) allow the similarity, first over 256
 ranges, then over as many as half the set's size, and is verified on the full sets if it is not already in one class.
 
 An agreement on two empty parts says little, so there are more first-level parts than needed: with SPARE good parts too
@@ -18,20 +19,22 @@ is the smallest doc_id, nulls left out. Extra columns are ignored. An empty tabl
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import staged
+from folioforge.llm.common import portions, release, settled, sieved, staged, tidy, unused
 from folioforge.llm.graph import components
 from folioforge.llm.shingles import U, mix, set_number, shingle_sets
 
 NUM, DEN = 4, 5
-KEY_BYTES = 5
+#: Bytes of a signature within its group, and of a set's number beside it: both only choose candidates.
+KEY_BYTES, ID_BYTES = 4, 5
 #: Sketches of one group, bytes of fine sketches and of full sets in half a group, and bits of the filter that says which sets are needed.
 BLOCK, FINE_BYTES, SET_BYTES, FILTER_BITS = 32768, 4_000_000, 16_000_000, 1 << 23
 
@@ -39,7 +42,7 @@ BLOCK, FINE_BYTES, SET_BYTES, FILTER_BITS = 32768, 4_000_000, 16_000_000, 1 << 2
 def _bounds(limit: int = 1 << 40) -> np.ndarray:
     out = [0, 1]
     while out[-1] < limit:
-        out.append(max(out[-1] + 1, out[-1] * 25 // 16))
+        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
     return np.array(out)
 
 
@@ -57,15 +60,31 @@ def bands(size: int) -> list[int]:
     return out
 
 
-def plan(band: int) -> tuple[int, int, int]:
-    """Most differences k of similar sets in the band, first-level parts, spare ones."""
+#: Up to this many differences a first-level part may hold where all its subsets are enumerated.
+MOST = 4
+
+
+def plan(band: int) -> tuple[int, int, int, int, int]:
+    """Most differences k of similar sets in the band; first-level parts, second-level parts in each, how many a signature takes, spare parts.
+
+    Of parts - spare first-level parts one holds at most d differences: any two sets agree there on (cells - d) of its
+    cells. Small sets have few first-level parts and a larger d, so that those cells hold most of their shingles and are
+    hardly ever empty.
+    """
     k = 2 * int(BOUNDS[band]) * (DEN - NUM) // (DEN + NUM)
-    need = (k + 2) // 2
-    spare = need // 4 + (k > 2)
-    return k, need + spare, spare
+    if k <= 2 * MOST - 1:
+        parts = 1 if k <= MOST else 2
+        d = k // parts
+        return k, parts, 2 * d + (d < MOST), d + (d < MOST), 0
+    d = 2 if k <= 22 else 1
+    need = k // (d + 1) + 1
+    spare = 1 + need // 8 if d == 2 else need * 2 // 5
+    return k, need + spare, 2 * d + 1, d + 1, spare
 
 
-_TRIO = ((1, 2), (0, 2), (0, 1))
+_SUBSETS = {(n, m): np.array(list(itertools.combinations(range(n), m))) for n in range(2, 2 * MOST + 2) for m in range(1, n)}
+#: What each second-level part stands for within a signature.
+_PLACES = mix(np.arange(1, 2 * MOST + 3, dtype=np.uint64)) | U(1)
 
 
 def signatures(s: np.ndarray) -> np.ndarray:
@@ -74,23 +93,25 @@ def signatures(s: np.ndarray) -> np.ndarray:
     n = len(s)
     low, high = s & U(0xFFFFFFFF), s >> U(32)
     for band in bands(n):
-        k, parts, spare = plan(band)
+        k, parts, cells, take, spare = plan(band)
         if k < 1:  # only equal sets
             continue
-        cell = ((mix(s + U(band * 0x9E3779B97F4A7C15 % 2**64)) >> U(20)) % U(3 * parts)).astype(np.int64)
+        m = parts * cells
+        cell = ((mix(s + U(band * 0x9E3779B97F4A7C15 % 2**64)) >> U(20)) % U(m)).astype(np.int64)
         if n < 1 << 20:
-            a = np.bincount(cell, weights=low, minlength=3 * parts).astype(np.uint64)
-            b = np.bincount(cell, weights=high, minlength=3 * parts).astype(np.uint64)
+            a = np.bincount(cell, weights=low, minlength=m).astype(np.uint64)
+            b = np.bincount(cell, weights=high, minlength=m).astype(np.uint64)
         else:
-            a, b = np.zeros(3 * parts, np.uint64), np.zeros(3 * parts, np.uint64)
+            a, b = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
             np.add.at(a, cell, low)
             np.add.at(b, cell, high)
-        full = (np.bincount(cell, minlength=3 * parts) > 0).reshape(parts, 3)
-        c = mix(a * U(0xC2B2AE3D27D4EB4F) + b * U(0x165667B19E3779F9) + U(1)).reshape(parts, 3)
-        sig = np.stack([c[:, x] * U(0x27D4EB2F165667C5) + c[:, y] * U(0x85EBCA77C2B2AE63) for x, y in _TRIO], axis=1)
-        place = np.arange(3 * parts, dtype=np.uint64).reshape(parts, 3) + U(band << 40)
+        full = (np.bincount(cell, minlength=m) > 0).reshape(parts, cells)
+        c = mix(a * U(0xC2B2AE3D27D4EB4F) + b * U(0x165667B19E3779F9) + U(1)).reshape(parts, cells) * _PLACES[:cells]
+        sets = _SUBSETS[cells, take]
+        sig = c[:, sets].sum(axis=2, dtype=np.uint64)
+        place = np.arange(sig.size, dtype=np.uint64).reshape(sig.shape) + U(band << 40)
         sig = mix(sig ^ mix(place))
-        some = np.stack([full[:, x] | full[:, y] for x, y in _TRIO], axis=1)
+        some = full[:, sets].any(axis=2)
         out.append(sig[some] if int((~some).any(axis=1).sum()) <= spare else sig.ravel())
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -117,24 +138,32 @@ def set_table(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), h (number of the set), sketch, fine (null where it is the sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             sets = shingle_sets(batch.column(1))
             fine = [packed(sketch(s, ranges(len(s)))) if ranges(len(s)) > 256 else None for s in sets]
             cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_number(s) for s in sets], pa.int64()), pa.array([packed(sketch(s)) for s in sets], pa.binary()), pa.array(fine, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *cols], ["doc_id", "n", "h", "sketch", "fine"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h long, sketch binary, fine binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n long, h long, sketch binary, fine binary")
 
 
-def stars(docs: DataFrame, total: int) -> DataFrame:
-    """pivot and member: for each signature that several sets share, the least set number, and each other one.
+def widened(data: bytes, size: int) -> np.ndarray:
+    """Numbers of `size` bytes each."""
+    raw = np.zeros((len(data) // size, 8), dtype=np.uint8)
+    raw[:, :size] = np.frombuffer(data, np.uint8).reshape(-1, size)
+    return raw.view("<i8").ravel()
+
+
+def stars(docs: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """pivot and member: for each signature that several sets share, one of them, and each other one.
 
     Signatures travel packed, a row for each batch and group of signatures; total (shingles of all sets) sets the groups.
+    They carry the low bytes of the set numbers (h of classes); every set with the same ones is taken for a candidate.
     """
-    groups = max(1, -(-total // 2_000_000))
+    groups = max(1, -(-total // 1_500_000))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in portions(batches, 0):
             for at in range(0, whole.num_rows, 4000):
                 numbers: dict[int, int] = {}
                 sigs, owner = [], []
@@ -147,29 +176,31 @@ def stars(docs: DataFrame, total: int) -> DataFrame:
                 if not sigs:
                     continue
                 sig, own = np.concatenate(sigs), np.concatenate(owner)
+                del sigs, owner
                 part = (sig % U(groups)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 key = (sig // U(groups))[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-                own = own[order]
-                edges = np.searchsorted(part[order], np.arange(groups + 1))
-                ids = np.fromiter(numbers, dtype=np.int64)
+                own, part = own[order], part[order]
+                del sig, order
+                edges = np.searchsorted(part, np.arange(groups + 1))
+                ids = np.fromiter(numbers, dtype="<i8").view(np.uint8).reshape(-1, 8)[:, :ID_BYTES]
                 for g in range(groups):
                     a, b = edges[g], edges[g + 1]
                     if b > a:
                         used, where = np.unique(own[a:b], return_inverse=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([ids[used].tobytes()]), pa.array([np.ascontiguousarray(key[a:b]).tobytes()]), pa.array([where.astype("<u2").tobytes()])], ["g", "ids", "keys", "own"])
+                        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([np.ascontiguousarray(ids[used]).tobytes()]), pa.array([np.ascontiguousarray(key[a:b]).tobytes()]), pa.array([where.astype("<u2").tobytes()])], ["g", "ids", "keys", "own"])
 
     def meet(t: pa.Table) -> pa.Table:
         keys, ids = [], []
         for i, k, o in zip(*(t.column(c).to_pylist() for c in ("ids", "keys", "own"))):
-            raw = np.zeros((len(k) // KEY_BYTES, 8), dtype=np.uint8)
-            raw[:, :KEY_BYTES] = np.frombuffer(k, np.uint8).reshape(-1, KEY_BYTES)
-            keys.append(raw.view("<u8").ravel())
-            ids.append(np.frombuffer(i, np.int64)[np.frombuffer(o, "<u2")])
+            keys.append(widened(k, KEY_BYTES).astype(np.uint32))
+            ids.append(widened(i, ID_BYTES)[np.frombuffer(o, "<u2")])
+        release()
         key, own = np.concatenate(keys), np.concatenate(ids)
         del keys, ids
         order = np.argsort(key, kind="stable")
         key, own = key[order], own[order]
+        del order
         new = np.ones(len(key), dtype=bool)
         new[1:] = key[1:] != key[:-1]
         several = np.zeros(len(key), dtype=bool)
@@ -185,8 +216,13 @@ def stars(docs: DataFrame, total: int) -> DataFrame:
         pairs = np.unique(np.stack([first[keep], own[keep]], axis=1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
         return pa.table({"pivot": pa.array(pairs[:, 0], pa.int64()), "member": pa.array(pairs[:, 1], pa.int64())})
 
-    packed = docs.select("text").mapInArrow(pack, "g int, ids binary, keys binary, own binary")
-    return packed.groupBy("g").applyInArrow(meet, "pivot long, member long").distinct()
+    packed = docs.select("text").mapInArrow(tidy(pack), "g int, ids binary, keys binary, own binary")
+    short = staged(packed.groupBy("g").applyInArrow(meet, "pivot long, member long").distinct(), "short-candidates")
+    sets = classes.select("h", F.col("h").bitwiseAND(F.lit((1 << 8 * ID_BYTES) - 1)).alias("low"))
+    found = short.join(sets.select(F.col("low").alias("pivot"), F.col("h").alias("p")), "pivot").join(sets.select(F.col("low").alias("member"), F.col("h").alias("m")), "member")
+    alike = sets.groupBy("low").agg(F.collect_set("h").alias("all")).filter(F.size("all") > 1)  # a few numbers each: sets are told apart by 64 bits
+    alike = alike.select(F.array_min("all").alias("pivot"), F.explode("all").alias("member")).filter("pivot != member")
+    return found.select(F.col("p").alias("pivot"), F.col("m").alias("member")).unionByName(alike).distinct()
 
 
 def needed(ids: DataFrame, classes: DataFrame) -> np.ndarray:
@@ -207,20 +243,19 @@ def full_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = sent.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                out_h, out_s = [], []
-                for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1))):
-                    if len(s):
-                        h, doc = set_number(s), -1 if doc is None else doc
-                        slot = (h ^ doc ^ (doc << 17)) & (FILTER_BITS - 1)
-                        if int(words[slot >> 6]) >> (slot & 63) & 1:
-                            out_h.append(h)
-                            out_s.append(s.tobytes())
+        for batch in portions(batches, 1):
+            out_h, out_s = [], []
+            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1))):
+                if len(s):
+                    h, doc = set_number(s), -1 if doc is None else doc
+                    slot = (h ^ doc ^ (doc << 17)) & (FILTER_BITS - 1)
+                    if int(words[slot >> 6]) >> (slot & 63) & 1:
+                        out_h.append(h)
+                        out_s.append(s.tobytes())
+            if out_h:
                 yield pa.RecordBatch.from_arrays([pa.array(out_h, pa.int64()), pa.array(out_s, pa.binary())], ["h", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h long, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "h long, shingles binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -318,7 +353,7 @@ def _grouped(rows: DataFrame, keys: list[str], schema: str, work) -> DataFrame:
         if len(held) > 1:
             yield done(work(key, held))
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(tidy(run), schema)
 
 
 def _survivors(weight, limit: int):
@@ -369,7 +404,7 @@ def verified(rows: DataFrame, keys: list[str], docs: DataFrame, table: DataFrame
 
 def links(docs: DataFrame, table: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     """Verified links between set numbers that connect every two similar sets."""
-    pairs = staged(stars(docs, total), "candidates")
+    pairs = staged(stars(docs, classes, total), "candidates")
     blocks = F.ceil(F.count("*") / BLOCK).cast("int")
     sized = pairs.groupBy("pivot").agg(blocks.alias("blocks"))
     member = pairs.join(sized, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), F.col("member").alias("id"))
@@ -393,20 +428,54 @@ def links(docs: DataFrame, table: DataFrame, classes: DataFrame, total: int) ->
     return found.unionByName(verified(staged(rows, "groups"), ["pivot", "chunk", "block"], docs, table, classes))
 
 
-def classes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def classified(docs: DataFrame) -> DataFrame:
+    """doc_id, n (set size), h (number of the set), label (of the class; null for empty sets), component (its smallest doc_id)."""
     table = staged(set_table(docs), "sets")
     classes = staged(table.filter("n > 0").groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    label = components(links(docs, table, classes.select("h", "rep"), total))
+    label = settled(docs.sparkSession, lambda: components(links(docs, table, classes.select("h", "rep"), total)), "labels")
     own = classes.join(label, classes["h"] == label["id"], "left").select("h", "rep", F.coalesce("label", "h").alias("label"))
     least = own.groupBy("label").agg(F.min("rep").alias("component"))
-    of_set = own.join(least, "label").select("h", "component")
-    filled = table.filter("n > 0").join(of_set, "h").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    return filled.unionByName(table.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    of_set = own.join(least, "label").select("h", "label", "component")
+    filled = table.filter("n > 0").select("doc_id", "n", "h").join(of_set, "h").select("doc_id", "n", "h", "label", "component")
+    return filled.unionByName(table.filter("n = 0").select("doc_id", "n", "h", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component")))
+
+
+def classes_of(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    return classified(docs).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the number of each row's set (null: an empty set) in a column of that name."""
+    at = docs.columns.index("text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, at):
+            h = pa.array([set_number(s) if len(s) else None for s in shingle_sets(batch.column(at))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, h], [*batch.schema.names, name])
+
+    return docs.mapInArrow(tidy(run), f"{fields}, `{name}` long")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with the first document of each class only; all columns stay."""
-    kept = classes_of(docs).filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_k"), F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi")
+    """docs with the first document of each class only; all columns stay, whatever their names.
+
+    The first is the one with the smallest doc_id, null last; of rows with that id in the class, one stays. Rows without
+    words are classes of their own.
+    """
+    rows = staged(classified(docs), "classified")
+    plain = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty()
+    if plain:  # those that go are looked for; the others stay where they are
+        gone = rows.filter("doc_id != component").select(F.col("doc_id").alias("d"))
+        whole = sieved(docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").cast("long").alias("id")), F.xxhash64("id"), gone.select(F.xxhash64("d").alias("k")))
+        some = whole.filter("maybe").join(gone, F.col("id") == F.col("d"), "left_anti")
+        return whole.filter("not maybe").select("whole.*").unionByName(some.select("whole.*"))
+    keep, own, number, rank = unused(docs.columns, "_keep", "_own", "_number", "_rank")
+    first = rows.filter("n > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h")).alias("f"))
+    first = first.select(F.col("f.doc_id").alias(keep), F.col("f.h").alias(own))
+    out = numbered(docs, number)
+    some = out.join(first, F.col("doc_id").eqNullSafe(F.col(keep)) & (F.col(number) == F.col(own)), "left_semi")
+    some = some.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", number).orderBy(F.xxhash64("text"), "text"))).filter(F.col(rank) == 1)
+    return some.drop(rank, number).unionByName(out.filter(F.col(number).isNull()).drop(number))

@@ -14,6 +14,8 @@ _VALUE[65:91] = _VALUE[97:123]  # A-Z as a-z
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _STEP = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | U(1)
 _POWERS = {"p": np.ones(1, np.uint64), "q": np.ones(1, np.uint64)}
+#: Powers that a worker keeps; for more (a word longer than that) they are made anew.
+_KEPT = 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,10 +27,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS["p"]) < n:
+        made = {}
         for k, b in (("p", _BASE), ("q", _INVERSE)):
             x = np.full(n, b, dtype=np.uint64)
             x[0] = 1
-            _POWERS[k] = np.multiply.accumulate(x)
+            made[k] = np.multiply.accumulate(x)
+        if n > _KEPT:
+            return made["p"], made["q"]
+        _POWERS.update(made)
     return _POWERS["p"], _POWERS["q"]
 
 
@@ -49,7 +55,7 @@ def _words(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix((sums[e] - sums[s]) * q[s] ^ (e - s).astype(np.uint64) * U(0xD6E8FEB86659FD93)), s
 
 
-def word_hashes(texts: pa.Array, block: int = 2_000_000) -> list[np.ndarray]:
+def word_hashes(texts: pa.Array, block: int = 1_000_000) -> list[np.ndarray]:
     """Of each text (null: empty), its words' hashes; A-Z count as a-z. Long texts are cut at white space to bound memory."""
     col = texts.fill_null("").cast(pa.large_binary())
     offsets = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1]
