@@ -45,7 +45,7 @@ class PreTokenEncoder:
     space stands by itself; else white space goes and every digit is a pre-token of its own.
     """
 
-    def __init__(self, path: str, keep_spaces: bool, cache: int = 500_000, block_chars: int = 3_000_000):
+    def __init__(self, path: str, keep_spaces: bool, cache: int = 200_000, block_chars: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

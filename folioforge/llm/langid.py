@@ -2,7 +2,9 @@
 
 For each language a suffix automaton of labelled text. A text is parsed against it greedily into longest matches; the
 language that needs the fewest phrases for a symbol wins, ties to the smaller name. Letters are folded to lower case,
-every run of other characters is one blank. A long text is parsed in blocks of BLOCK symbols, all of them counted.
+every run of other characters is one blank. The blocks of a long text are parsed side by side from a fresh start, and each
+is then corrected from its first symbol on with the state that the block before it ends in, until both parses are in the
+same state: phrases cross the edges of blocks, and the counts are those of one parse of the whole text.
 
 Null text or one without a letter: `und`, score 0. If nothing can be learned all are `und`. Repeated rows are predicted
 each; a null doc_id is neither held out nor learned from. Extra columns are ignored. Score: 1 - phrases of the best /
@@ -18,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.llm.common import portions, tidy
+
 BLOCK = 1024
-SLICE = 1_000_000
 #: Symbols: 0 blank, 1 a letter that no sample has, 2.. every letter of the samples, the last one the end of a short block.
 #: An automaton over more symbols than DENSE is a sparse table over the symbols of its own language.
 DENSE = 256
@@ -152,33 +155,81 @@ class Model:
         owner: list[int] = []
         letter = np.zeros(len(texts), dtype=bool)
         for i, text in enumerate(texts):
-            for at in range(0, len(text), SLICE):
-                got = self.symbols(text[at : at + SLICE])
-                letter[i] |= bool(len(got)) and bool(got.max() > 0)
-                for k in range(0, len(got), BLOCK):
-                    blocks.append(got[k : k + BLOCK])
-                    owner.append(i)
+            got = self.symbols(text)
+            letter[i] = bool(len(got)) and bool(got.max() > 0)
+            for k in range(0, len(got), BLOCK):
+                blocks.append(got[k : k + BLOCK])
+                owner.append(i)
         out = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
         if not blocks:
             return out, letter
         sizes = np.array([len(b) for b in blocks])
         order = np.argsort(-sizes, kind="stable")
-        grid = np.full((BLOCK, len(blocks)), self.width - 1, dtype=self.symbol.dtype)
+        place = np.empty(len(blocks), dtype=np.int64)
+        place[order] = np.arange(len(blocks))
+        grid = np.full((int(sizes.max()), len(blocks)), self.width - 1, dtype=self.symbol.dtype)
         for k, b in enumerate(order):
             grid[: sizes[b], k] = blocks[b]
         active = np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), side="left")
-        who = np.array(owner)[order]
+        who = np.array(owner)
+        later = np.flatnonzero(np.diff(who, prepend=-1) == 0)  # blocks that go on from the one before
+        full = int((sizes[order] == BLOCK).sum()) if len(later) else 0  # only full blocks are followed, and they come first
+        tails = place[later]
+        kept = max(full, int(tails.max()) + 1) if len(later) else 0
+        last = np.ones(len(blocks), dtype=bool)
+        last[later - 1] = False
         for lang, (parser, own) in enumerate(zip(self.parsers, self.own)):
             state = np.zeros(len(blocks), dtype=parser.dtype)
             count = np.zeros(len(blocks), dtype=parser.dtype)
+            states = np.zeros((len(grid) if kept else 0, kept), dtype=parser.dtype)
+            counts = np.zeros(states.shape, dtype=np.int16)
             for t, n in enumerate(active.tolist()):
                 v = parser.step(state[:n], grid[t, :n] if own is None else own.take(grid[t, :n]))
                 count[:n] += v & 3
                 state[:n] = v >> 2
-            count += state > 0
-            out[:, lang] = np.bincount(who, weights=count, minlength=len(texts)).astype(np.int64)
+                if kept:
+                    m = min(n, kept)
+                    states[t, :m], counts[t, :m] = state[:m], count[:m]
+            if kept:
+                self._carry(parser, own, grid, sizes, place, later, state, count, states, counts)
+            total = count[place] + (last & (state[place] > 0))
+            out[:, lang] = np.bincount(who, weights=total, minlength=len(texts)).astype(np.int64)
         return out, letter
 
+    @staticmethod
+    def _carry(parser, own, grid, sizes, place, later, state, count, states, counts) -> None:
+        """Correct state and count (in place) of blocks parsed from a fresh start by what the block before ends in.
+
+        states and counts hold the fresh parse after each symbol. Where both parses are in the same state the rest is
+        the same. A block that never gets there ends in another state, and the block after it is corrected again.
+        """
+        fresh_state, fresh_count = state.copy(), count.copy()
+        todo = later
+        while len(todo):
+            ends = state[place[todo]].copy()
+            cols, at = place[todo], np.arange(len(todo))
+            s, c = state[place[todo - 1]], np.zeros(len(todo), dtype=count.dtype)
+            new_state, new_count = s.copy(), c.copy()
+            open_ = s != 0  # else the fresh start was right
+            new_state[~open_], new_count[~open_] = fresh_state[cols[~open_]], fresh_count[cols[~open_]]
+            at, s, c = at[open_], s[open_], c[open_]
+            for t in range(len(grid)):
+                if not len(at):
+                    break
+                here = cols[at]
+                v = parser.step(s, grid[t, here] if own is None else own.take(grid[t, here]))
+                c, s = c + (v & 3), v >> 2
+                met, ended = s == states[t, here], t + 1 >= sizes[todo[at]]
+                done = met | ended
+                if done.any():
+                    k = at[done]
+                    new_state[k] = np.where(met[done], fresh_state[cols[k]], s[done])
+                    new_count[k] = c[done] + np.where(met[done], fresh_count[cols[k]] - counts[t, cols[k]], 0)
+                    at, s, c = at[~done], s[~done], c[~done]
+            state[cols], count[cols] = new_state, new_count
+            again = todo[new_state != ends] + 1
+            todo = again[np.isin(again, later)]
+
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         counts, letter = self.phrases(texts)
         names, scores = [], []
@@ -210,59 +261,46 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def labelled_samples(docs: DataFrame, rows: int = 240, chars: int = 96) -> dict[str, list[str]]:
-    """Of each language, `chars` characters from each of `rows` labelled documents, picked by a hash of doc_id.
+def labelled_samples(docs: DataFrame, rows: int = 240, chars: int = 32_000) -> dict[str, list[str]]:
+    """Whole texts of labelled documents of each language, in the order of a hash of doc_id.
 
-    This bound of the fit is rows * chars characters a language; doc_id, lang alone are read to pick.
+    The bound of the fit: as many as fit into `chars` characters a language, `rows` at most. Where the first one alone is
+    longer, its first `chars` characters. doc_id and lang are read only to pick.
     """
     learn = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = learn.select("doc_id", "lang").withColumn("k", order).filter(F.col("k") <= rows).select("doc_id", "lang").distinct()
-    start = F.greatest(F.lit(1), F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - chars, F.lit(1))) + 1).cast("int")
-    got = learn.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", F.substring("text", start, F.lit(chars)).alias("part"))
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "n")
+    picked = learn.select("doc_id", "lang", F.length("text").alias("n")).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= rows)
+    picked = picked.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter((F.col("upto") <= chars) | (F.col("k") == 1))
+    picked = F.broadcast(picked.select("doc_id", "lang", "n").distinct())  # rows * languages at most
+    got = learn.withColumn("n", F.length("text")).join(picked, ["doc_id", "lang", "n"], "left_semi").select("lang", "doc_id", F.substring("text", 1, chars).alias("part"))
     out: dict[str, list[str]] = {}
-    for lang, _, part in sorted(map(tuple, got.collect())):
+    for lang, _, part in sorted(map(tuple, got.distinct().collect())):
         out.setdefault(lang, []).append(part)
     return out
 
 
-def identify(docs: DataFrame, samples: dict[str, list[str]], batch_chars: int = 6_000_000) -> DataFrame:
+def identify(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
     """doc_id, lang_pred, score of every document; only its text is looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(samples)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            names: list[str] = []
-            scores: list[float] = []
-            at = 0
-            while at < len(texts):
-                end, size = at + 1, len(texts[at])
-                while end < len(texts) and size + len(texts[end]) <= batch_chars:
-                    size += len(texts[end])
-                    end += 1
-                a, b = model.predict(texts[at:end])
-                names += a
-                scores += b
-                at = end
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OUT)
+        for batch in portions(batches, 1):
+            names, scores = model.predict([t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), OUT)
 
 
 def accepted(docs: DataFrame, samples: dict[str, list[str]], min_score: float = 0.0) -> DataFrame:
-    """docs whose text has a language, with at least that score; all columns stay."""
+    """docs whose text has a language, with at least that score; all columns stay, whatever their names."""
     names = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(samples)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                batch = whole.slice(k, 2000)
-                lang, score = model.predict([t or "" for t in batch.column(at).to_pylist()])
-                keep = pa.array([a != "und" and s >= min_score for a, s in zip(lang, score)], pa.bool_())
-                yield batch.filter(keep)
-
-    return docs.mapInArrow(run, fields)
+        for batch in portions(batches, at):
+            lang, score = model.predict([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array([a != "und" and s >= min_score for a, s in zip(lang, score)], pa.bool_()))
+
+    return docs.mapInArrow(tidy(run), fields)

@@ -1,7 +1,7 @@
 """Mixing sources to target weights: capped water-filling, then seeded whole and fractional repetitions.
 
 Every row of the input is a document of its own, repeated rows too. A null or empty text has size 0 and takes 0. A null
-source is a source. Ties in the seeded order go to the smaller doc_id, then the smaller size. Extra columns are ignored.
+source is a source. Ties in the seeded order go to the smaller doc_id, then the smaller size. Extra columns, of any name, are ignored.
 An empty table, or one without words, takes nothing (targets are 0). Only DataFrame functions run here.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import staged, word_count
+from folioforge.llm.common import looked_up, staged, unused, word_count
 
 #: Hash ranges of a source over which sizes are summed before rows are ordered: only one range of each source is.
 RANGES = 65536
@@ -44,30 +44,46 @@ def water_fill(sources: DataFrame, weights: Sequence[float], share: float, max_e
     return s.withColumn("target", F.least("cap", F.coalesce(level * F.col("w"), F.col("cap")))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken.
-
-    Each document is taken whole as often as its source's target holds the source; of the rest, documents are taken in
-    the seeded order until it is used up, the last one in part. Sizes are first summed by hash range, so only the one
-    range of each source where its rest ends is put in order.
-    """
-    rows = staged(docs.select("doc_id", "source", word_count().alias("size"), seeded(seed).alias("u")), "sizes")
-    rows = rows.withColumn("range", (F.col("u") / F.lit((1 << 60) // RANGES)).cast("int"))
-    ranges = staged(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "ranges")
-    sources = staged(water_fill(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, max_epochs), "targets")
+def parameters(rows: DataFrame, weights: Sequence[float], share: float, max_epochs: float) -> DataFrame:
+    """For each source s of rows (source, size, range): its size, target, n (rows), whole takes, rest, and the range (cut) where the rest ends."""
+    ranges = staged(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"), F.count("*").alias("n")), "ranges")
+    sizes = staged(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"), F.sum("n").alias("n")), "source-sizes")
+    sources = water_fill(sizes.drop("n"), weights, share, max_epochs).join(sizes.select(F.col("source").alias("t"), "n"), F.col("source").eqNullSafe(F.col("t"))).drop("t")
+    sources = staged(sources, "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = (F.floor(F.col("target")) - whole * F.col("source_size")).cast("long")
     sources = sources.withColumn("whole", whole).withColumn("rest", rest).withColumnRenamed("source", "s")
     w = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    cut = ranges.withColumn("before", F.sum("range_size").over(w) - F.col("range_size")).join(sources, F.col("source").eqNullSafe(F.col("s")))
+    cut = ranges.drop("n").withColumn("before", F.sum("range_size").over(w) - F.col("range_size")).join(sources.drop("n"), F.col("source").eqNullSafe(F.col("s")))
     cut = cut.filter("before < rest and before + range_size >= rest").select(F.col("s").alias("cs"), F.col("range").alias("cut"), "before")
-    params = sources.join(cut, F.col("s").eqNullSafe(F.col("cs")), "left").drop("cs")
-    full = rows.join(params, F.col("source").eqNullSafe(F.col("s")))
+    return staged(sources.join(cut, F.col("s").eqNullSafe(F.col("cs")), "left").drop("cs"), "source-cuts")
+
+
+def with_taken(rows: DataFrame, params: DataFrame, total: int) -> DataFrame:
+    """rows (doc_id, source, size, u, range, others) with their source's parameters and taken."""
+    full = looked_up(rows, params, "source", "s", "n", total)
     edge = full.filter("range = cut")
     inner = Window.partitionBy("source").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.sum("size").over(inner) + F.col("size"))))
     others = full.filter("cut is null or range != cut").withColumn("extra", F.when(F.col("range") < F.col("cut"), F.col("size")).otherwise(F.lit(0)))
-    return edge.unionByName(others).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    return edge.unionByName(others).withColumn("taken", (F.col("whole") * F.col("size") + F.col("extra")).cast("long"))
+
+
+def _sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    rows = docs.select("doc_id", "source", word_count().alias("size"), seeded(seed).alias("u"), *more)
+    return rows.withColumn("range", (F.col("u") / F.lit((1 << 60) // RANGES)).cast("int"))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken.
+
+    Each document is taken whole as often as its source's target holds the source; of the rest, documents are taken in
+    the seeded order until it is used up, the last one in part. Sizes are first summed by hash range, so only the one
+    range of each source where its rest ends is put in order. Sources with many rows reach them by broadcast.
+    """
+    rows = staged(_sized(docs, seed), "sizes")
+    params = parameters(rows, weights, share, max_epochs)
+    return with_taken(rows, params, rows.count()).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def mix_sql(weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2, seed: int = 7) -> str:
@@ -92,19 +108,57 @@ select doc_id, size, source_size, target,
 """
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The first n words of a text, as they stand."""
+    pieces = F.regexp_extract_all(text, F.lit("[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+"), F.lit(0))
+    return F.rtrim(F.array_join(F.slice(pieces, 1, F.greatest(n, F.lit(0))), ""))
+
+
 def materialise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """docs in the mix: a document taken 2.5 times is there 3 times, the last time with its first words.
 
-    All columns stay; text and n_chars are of what was taken. Rows are matched by doc_id, source and size.
+    All columns stay, whatever their names; text and n_chars are of what was taken. Rows are matched by doc_id, source and
+    size; of several rows with the same three, as many words are taken as of all of them together, in the order of their texts.
     """
-    keys = mixed.filter("taken > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "taken").distinct()
-    d = docs.withColumn("_w", word_count())
-    j = d.join(keys, d["doc_id"].eqNullSafe(keys["_d"]) & d["source"].eqNullSafe(keys["_s"]) & (d["_w"] == keys["_n"]))
-    j = j.withColumn("_k", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("_n")).cast("int"))))
-    part = (F.col("taken") - (F.col("_k") - 1) * F.col("_n")).cast("int")
-    words = F.regexp_extract_all(F.col("text"), F.lit("[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+"), F.lit(0))
-    text = F.when(part >= F.col("_n"), F.col("text")).otherwise(F.rtrim(F.array_join(F.slice(words, 1, F.greatest(part, F.lit(0))), "")))
+    taken, doc, source, size, words, k, rank = unused(docs.columns, "_taken", "_doc", "_source", "_size", "_words", "_k", "_rank")
+    keys = mixed.groupBy(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size)).agg(F.sum("taken").alias(taken), F.count("*").alias(rank))
+    keys = staged(keys.filter(F.col(taken) > 0), "taken")
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(words) == F.col(size))
+    d = docs.withColumn(words, word_count())
+    j = d.join(keys.filter(F.col(rank) == 1).drop(rank), same)
+    repeated = keys.filter(F.col(rank) > 1)
+    if not repeated.isEmpty():
+        # The rows share the words taken of them: every one as often as all of them can, then one more time from the first on.
+        more = d.join(repeated.withColumnRenamed(rank, k), same)
+        at = F.row_number().over(Window.partitionBy("doc_id", "source", words).orderBy(F.xxhash64("text"), "text")) - 1
+        more = more.withColumn(rank, at)
+        each = F.floor(F.col(taken) / (F.col(k) * F.col(size)))
+        left = F.col(taken) - each * F.col(k) * F.col(size) - F.col(rank) * F.col(size)
+        more = more.withColumn(taken, (each * F.col(size) + F.greatest(F.lit(0), F.least(F.col(size), left))).cast("long")).drop(rank, k)
+        j = j.unionByName(more.filter(F.col(taken) > 0))
+    j = j.withColumn(k, F.explode(F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)).cast("int"))))
+    part = (F.col(taken) - (F.col(k) - 1) * F.col(size)).cast("int")
+    text = F.when(part >= F.col(size), F.col("text")).otherwise(first_words(F.col("text"), part))
     j = j.withColumn("text", text)
     if "n_chars" in docs.columns:
         j = j.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return j.select(*docs.columns)
+
+
+def mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2, seed: int = 7) -> DataFrame:
+    """The documents of mix themselves: one taken 2.5 times is there 3 times, the last time with its first words.
+
+    All columns stay, whatever their names; text and n_chars are of what was taken. Each row takes its own share, so rows
+    that repeat are told apart, and no text is shuffled but in the range of each source that is put in order.
+    """
+    small = staged(_sized(docs, seed), "sizes")
+    params = parameters(small, weights, share, max_epochs)
+    rows = with_taken(_sized(docs, seed, F.struct(*docs.columns).alias("record")), params, small.count()).filter("taken > 0")
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    part = (F.col("taken") - (F.col("k") - 1) * F.col("size")).cast("int")
+    text = F.when(part >= F.col("size"), F.col("record.text")).otherwise(first_words(F.col("record.text"), part))
+    rows = rows.select("record", text.alias("cut_text"))
+    new = {"text": F.col("cut_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("cut_text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new[c].alias(c) if c in new else F.col("record")[c].alias(c) for c in docs.columns])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import staged
+from folioforge.llm.common import portions, staged, tidy
 from folioforge.llm.fasttok import PreTokenEncoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -64,7 +64,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PreTokenEncoder(vocabulary, keep_spaces=False)
         end = np.array([end_id], dtype=np.uint32)
-        for batch in batches:
+        for batch in portions(batches, 1):
             ids = batch.column(0).to_pylist()
             cols: list[list] = [[], [], [], [], []]
             for doc, got in zip(ids, encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
@@ -76,7 +76,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int =
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), PIECES)
 
 
 def best_fit(pieces: DataFrame, size: int = 4096, open_bins: int = 4096, group_rows: int = 1_000_000) -> DataFrame:

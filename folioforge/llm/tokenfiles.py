@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import shared_path, staged
+from folioforge.llm.common import portions, shared_path, staged, tidy
 from folioforge.llm.fasttok import PreTokenEncoder
 
 INDEX = "part int, row long, doc_id long, path string, at long, n_tokens long"
@@ -124,7 +124,7 @@ def write_sequences(docs: DataFrame, vocabulary: str, end_id: int = 0, width: in
         path, writer, row = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:8]}.arrow", None, 0
         encoder = PreTokenEncoder(vocabulary, keep_spaces=True)
         end = np.array([end_id], dtype=np.uint32)
-        for batch in batches:
+        for batch in portions(batches, 1):
             if writer is None:
                 small = max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
                 writer = SequenceWriter(path, width, np.uint16 if small else np.uint32)
@@ -140,7 +140,7 @@ def write_sequences(docs: DataFrame, vocabulary: str, end_id: int = 0, width: in
         if writer is not None:
             writer.close()
 
-    return staged(dealt.mapInArrow(run, INDEX), "sequence-index")
+    return staged(dealt.mapInArrow(tidy(run), INDEX), "sequence-index")
 
 
 def read_documents(index: DataFrame) -> DataFrame:
@@ -161,4 +161,4 @@ def read_documents(index: DataFrame) -> DataFrame:
             start = [a + b for a, b in zip(got["at"], got["before"])]
             yield pa.RecordBatch.from_arrays([pa.array(got["doc_id"], pa.int64()), pa.array(start, pa.int64()), pa.array(got["n_tokens"], pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return joined.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

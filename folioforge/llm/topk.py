@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import staged
+from folioforge.llm.common import staged, tidy
 
 
 def scaled(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -79,23 +79,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = 8, quer
     """query_id, rank, vec_id, score of each query's k best candidates.
 
     Queries go to the executors in blocks of at most about 2 * query_rows vectors (the size of what is broadcast), one
-    pass over the candidates for each block. A task sends on k rows for each query.
+    pass over the candidates for each block. A task sends on k rows for each query. What a block finds is written to the
+    shared folder and its broadcast destroyed before the next, so the driver holds one block.
     """
     spark = vectors.sparkSession
     rows = staged(scaled(vectors, scale), "vectors")
     queries = rows.filter(is_query).distinct()
     blocks = max(1, -(-queries.count() // query_rows))
     queries = staged(queries.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "query-blocks")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best = None
     for b in range(blocks):
         got = queries.filter(F.col("b") == b).select("vec_id", "v").toArrow()
         col = got.column("v").combine_chunks()
         col = col if isinstance(col, pa.Array) else pa.concat_arrays(col.chunks)
         sent = spark.sparkContext.broadcast((got.column("vec_id").to_numpy(), matrix(col)))
-        part = rows.mapInArrow(_searcher(sent, k, block), "query_id long, vec_id long, score long")
+        found = rows.mapInArrow(tidy(_searcher(sent, k, block)), "query_id long, vec_id long, score long")
+        part = staged(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "best")
+        sent.destroy()
         best = part if best is None else best.unionByName(part)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def _searcher(sent, k: int, block: int):
