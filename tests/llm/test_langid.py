@@ -47,3 +47,31 @@ def test_same_script_told_apart_by_letters():
     halves = {"aa": SCRIPTS["zh"][:200], "bb": SCRIPTS["zh"][200:], "la": SCRIPTS["la"]}
     model = langid.Model({x: [prose(rng, c, 400)] for x, c in halves.items()})
     assert model.predict([prose(rng, c, 30) for c in halves.values()])[0] == ["aa", "bb", "la"]
+
+
+def test_long_texts_are_parsed_whole():
+    rng = np.random.default_rng(8)
+    samples = {"la": [prose(rng, "abcd", 500)], "lb": [prose(rng, "abce", 500)]}
+    model = langid.Model(samples)
+    piece = samples["la"][0]
+    queries = [prose(rng, "abcd", 900), piece * 3, prose(rng, "abcd", 300)[: langid.BLOCK], prose(rng, "abce", 500)[: langid.BLOCK + 1], piece[:700] + "ก" + piece[:900], "a" * 5000]
+    got = model.phrases(queries)[0].tolist()
+    for q, row in zip(queries, got):
+        assert row == [phrases(q, " ".join(samples[y]) + " ") for y in model.langs]
+    assert [model.phrases([q])[0][0].tolist() for q in queries] == got
+
+
+def test_samples_are_whole_texts_within_the_bound(spark):
+    rows = [(i, "x" * (10 + i), "en") for i in range(50)] + [(99, "y" * 500, "de"), (98, None, "en"), (97, "zz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.labelled_samples(docs, 5, 100)
+    assert len(got["en"]) <= 5 and sum(map(len, got["en"])) <= 100 and set(got["en"]) <= {t for _, t, _ in rows}
+    assert got.get("de", ["y" * 100]) == ["y" * 100] and set(got) <= {"en", "de"}
+
+
+def test_ties_repeats_and_an_empty_table(spark):
+    model = {"aa": ["xyz xyz"], "bb": ["xyz xyz"]}
+    docs = spark.createDataFrame([(1, "xyz"), (1, "xyz"), (None, "xyz"), (2, "123")], "doc_id long, text string")
+    got = [tuple(r) for r in langid.identify(docs, model).collect()]
+    assert sorted(got, key=repr) == [(1, "aa", 0.0), (1, "aa", 0.0), (2, "und", 0.0), (None, "aa", 0.0)]
+    assert langid.identify(docs.limit(0), model).count() == 0 and langid.labelled_samples(docs.selectExpr("*", "'e' as lang").limit(0)) == {}
