@@ -1,6 +1,9 @@
 """A training corpus from documents: language, exact and near copies, source mix, packing.
 
-Each stage works on all rows the one before kept, and is written and read again before the next.
+Each stage works on all rows the one before kept, and is written and read again before the next; what it wrote on the way
+is deleted then. All columns of documents stay, whatever their names, up to the last stage, which gives pieces. Null and
+empty texts have no language and go in the first stage. Ties, and rows that repeat a doc_id, are told apart as in each
+operator: the first by doc_id, null last, then by text. An empty table gives no rows, stage by stage.
 """
 
 from __future__ import annotations
@@ -8,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm import exact, jaccard, langid, mixing, packing
-from folioforge.llm.common import staged, table
+from folioforge.llm.common import forget, settled, table
 from folioforge.llm.queries import vocabulary
 
 
@@ -29,7 +32,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: documents as often, and as much of them, as it takes."""
-    return mixing.materialise(docs, mixing.mix(docs))
+    return mixing.mixture(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settled(spark, lambda d=docs, s=stage: s(spark, d, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            forget(spark, before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
