@@ -93,11 +93,19 @@ def tag(c: Column) -> Column:
     return F.regexp_replace(x, "^[^\\p{L}\\p{N}]+", "")
 
 
+#: Fixed value: an abbreviation in brackets at the end of a name, capitals first.
+ABBREVIATION = r"\s*\(([A-ZА-Я0-9][A-ZА-Я0-9.+-]{1,8})\)$"
+
+
+def abbreviation(c: Column) -> Column:
+    """The abbreviation in brackets at the end of a name that has more than that; null without a capital letter."""
+    short = F.regexp_extract(c, "^.+?" + ABBREVIATION, 1)
+    return F.when(short != F.lower(short), short)
+
+
 def base_name(c: Column) -> Column:
     """Without an upper-case abbreviation in brackets at the end."""
-    short = F.regexp_extract(c, "\\(([^()]+)\\)$", 1)
-    upper = (short == F.upper(short)) & (short != F.lower(short))
-    return F.when(upper, F.trim(F.regexp_replace(c, "\\s*\\([^()]+\\)$", ""))).otherwise(c)
+    return F.when(abbreviation(c).isNotNull(), F.trim(F.regexp_replace(c, ABBREVIATION, ""))).otherwise(c)
 
 
 def heading(c: Column, within: int = 400) -> Column:
@@ -119,3 +127,83 @@ def without_clip_header(c: Column, lines: int = 30, words: int = 5) -> Column:
     short = lambda x: (F.regexp_count(x, F.lit("\\S+")).between(1, words)) & ~F.trim(x).rlike("^[#*>\\[!-]")
     head = F.filter(plain, lambda x: ~short(x))
     return F.array_join(F.concat(head, F.slice(every, lines + 1, F.greatest(F.size(every), F.lit(1)))), "\n")
+
+
+#: Words that are no alias, keys that are no concept.
+STOPWORDS = ("a", "an", "the", "and", "or", "but", "is", "it", "in", "on", "at", "to", "by", "for", "of", "as", "from", "with", "this", "that", "these", "those", "be", "are")
+NOISE_KEYS = ("document", "file", "image content unknown", "unknown content", "unknown file", "unknown filename", "untitled")
+
+
+def is_noise(c: Column) -> Column:
+    key = concept_key(c)
+    return (key == "") | key.isin(*NOISE_KEYS) | key.startswith("unknown ") | key.endswith(" unknown")
+
+
+def has_evidence(name: Column, body: Column, path: Column) -> Column:
+    """Whether the key of a name, or of its base, is part of the key of path and body."""
+    hay, key, base = concept_key(F.concat_ws(" ", path, body)), concept_key(name), concept_key(base_name(name))
+    return (key != "") & (F.contains(hay, key) | ((base != "") & F.contains(hay, base)))
+
+
+def safe_aliases(c: Column) -> Column:
+    """Base, abbreviation and lower case of a name, where they differ from it; one of each key that is not the name's own."""
+    made = F.array_compact(F.array(F.when(base_name(c) != c, base_name(c)), abbreviation(c), F.when(F.lower(c) != c, F.lower(c))))
+    keyed = F.filter(F.transform(made, lambda a: F.struct(concept_key(a).alias("k"), a.alias("a"))), lambda s: (s["k"] != "") & (s["k"] != concept_key(c)))
+    keys = F.transform(keyed, lambda s: s["k"])
+    first = F.filter(F.transform(keyed, lambda s, i: F.struct(s["a"].alias("a"), (F.array_position(keys, s["k"]) == i + 1).alias("f"))), lambda s: s["f"])
+    return F.transform(first, lambda s: s["a"])
+
+
+def valid_aliases(name: Column, aliases: Column, most: int = 5) -> Column:
+    """Aliases of two characters or more (capitals, if up to three), no stop words, not the name, each once, `most` in order."""
+    a = F.transform(aliases, lambda x: F.trim(x))
+    ok = F.filter(a, lambda x: (F.length(x) >= 2) & ((F.length(x) > 3) | ((x == F.upper(x)) & (x != F.lower(x)))) & ~F.lower(x).isin(*STOPWORDS) & (F.lower(x) != F.lower(name)))
+    low = F.transform(ok, F.lower)
+    first = F.filter(F.transform(ok, lambda x, i: F.when(F.array_position(low, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
+    return F.slice(first, 1, most)
+
+
+def posix(c: Column) -> Column:
+    return F.replace(c, F.lit("\\"), F.lit("/"))
+
+
+def frontmatter(c: Column) -> tuple[Column, Column]:
+    """The lines between the first two lines of three dashes (null without), and the body after them."""
+    head = r"(?s)\A---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
+    has = c.rlike(head)
+    return F.when(has, F.regexp_extract(c, head, 1)), F.when(has, F.regexp_replace(c, head, "")).otherwise(c)
+
+
+def body_hash(c: Column) -> Column:
+    return F.sha2(frontmatter(c)[1].cast("binary"), 256)
+
+
+def without_pictures(c: Column) -> Column:
+    """Without blocks of text read from pictures, and notes that a picture was left out."""
+    x = F.regexp_replace(c, r"(?is)\*\*-+\s*start of picture text\s*-+\*\*.*?\*\*-+\s*end of picture text\s*-+\*\*(?:<br>)?", "")
+    return F.regexp_replace(x, r"(?i)\*\*==>\s*picture\b[^\n]*?intentionally omitted\s*<==\*\*", "")
+
+
+def text_stats(c: Column) -> tuple[Column, Column]:
+    """Characters and words (of two or more) without media, addresses, code and markup."""
+    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"!\[\[[^\]]*\]\]", " "), r"!\[[^\]]*\]\([^)]*\)", " "), r"https?://\S+", " ")
+    x = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "`[^`]*`", " "), r"[#>*_\-\[\]()]", " "), r"\s+", " "))
+    return F.length(x), F.regexp_count(x, F.lit(r"[\p{L}\p{N}_]{2,}"))
+
+
+def slug(c: Column, otherwise: str = "source") -> Column:
+    x = F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.when(x == "", otherwise).otherwise(x)
+
+
+def derived_title(title: Column, question: Column) -> Column:
+    """A given title of up to twelve words, else the first eight words of the question in title case."""
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    return F.when((F.size(words(title)) > 0) & (F.size(words(title)) <= 12), F.trim(title)).otherwise(F.initcap(F.array_join(F.slice(words(F.rtrim(F.regexp_replace(question, "[?]+$", ""))), 1, 8), " ")))
+
+
+def bibliography(c: Column) -> tuple[Column, Column, Column]:
+    """First line with text, DOI and year of a document; null where there is none."""
+    none = lambda x: F.nullif(x, F.lit(""))
+    first = F.get(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 0)
+    return first, none(F.regexp_extract(c, r"(10\.\d{4,}/\S+)", 1)), none(F.regexp_extract(c, r"(?:^|[^0-9])((?:19|20)\d\d)(?:[^0-9]|$)", 1))

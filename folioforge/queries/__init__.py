@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioforge.queries import compile, knowledge, telemetry
+from folioforge.queries import compile, identity, knowledge, telemetry, wiki
 
-MODULES = (telemetry, knowledge, compile)
+MODULES = (telemetry, knowledge, compile, wiki, identity)
 
 
 def queries() -> dict:

@@ -245,13 +245,6 @@ def note_confidence(spark, d):
     return x.groupBy("source").agg(F.least(F.lit(1.0), 0.25 * F.countDistinct("doc_id") + F.max(bonus)).alias("confidence"))
 
 
-@add("health_score", "select round(greatest(0.0, least(100.0, 100.0 * (1 - count(distinct case when text = '' or n_chars < 200 then doc_id end) / greatest(count(*), 1)))), 1) as health from documents")
-def health_score(spark, d):
-    """Share of pages without a structural issue, in percent."""
-    bad = F.countDistinct(F.when((F.col("text") == "") | (F.col("n_chars") < 200), F.col("doc_id")))
-    return docs(spark, d).agg(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * (1 - bad / F.greatest(F.count("*"), F.lit(1))))), 1).alias("health"))
-
-
 @add("status_counts", "select s.status, count(o_orderkey) as notes from (values ('F'), ('O'), ('P'), ('X')) s(status) left join orders on o_orderstatus = s.status group by 1")
 def status_counts(spark, d):
     """Counts by status with zeros for those that no note has."""
