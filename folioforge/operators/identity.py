@@ -10,13 +10,13 @@ from folioforge.functions import text
 
 def keyed(labels: DataFrame) -> DataFrame:
     """labels (entity_id, label, role) plus label_key and match_key."""
-    return labels.withColumn("label_key", text.concept_key(F.col("label"))).withColumn("match_key", text.match_key(F.col("label")))
+    return text.with_keys(labels, "label", "label_key", "match_key")
 
 
 def resolve(surfaces: DataFrame, labels: DataFrame) -> DataFrame:
     """surfaces (surface) with status resolved, ambiguous or unresolved, and the one entity where there is one."""
     by_key = labels.groupBy("label_key").agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("entity"))
-    s = surfaces.withColumn("key", text.concept_key(F.col("surface")))
+    s = text.with_keys(surfaces, "surface", "key", "fold_key")
     j = s.join(by_key, s["key"] == by_key["label_key"], "left")
     status = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unresolved")
     return j.select("surface", status.alias("status"), F.when(F.col("n") == 1, F.col("entity")).alias("entity_id"))
@@ -27,7 +27,7 @@ def resolve_preferred(surfaces: DataFrame, labels: DataFrame) -> DataFrame:
     pref = labels.filter("role = 'preferred'")
     exact = pref.groupBy("label_key").agg(F.min("entity_id").alias("exact"))
     fold = pref.groupBy("match_key").agg(F.min("entity_id").alias("fold"), F.countDistinct("entity_id").alias("n"))
-    s = surfaces.withColumn("k", text.concept_key(F.col("surface"))).withColumn("m", text.match_key(F.col("surface")))
+    s = text.with_keys(surfaces, "surface", "k", "m")
     j = s.join(exact, s["k"] == exact["label_key"], "left").join(fold, s["m"] == fold["match_key"], "left")
     return j.select("surface", F.when(F.col("exact").isNotNull(), F.col("exact")).when(F.col("n") == 1, F.col("fold")).alias("entity_id"))
 
@@ -66,11 +66,20 @@ def follow_merges(merges: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def merge_suggestions(labels: DataFrame, least: float = 0.7) -> DataFrame:
-    """Pairs of preferred labels whose word sets have a Jaccard similarity of at least `least`."""
-    p = labels.filter("role = 'preferred'").select("entity_id", F.array_distinct(F.filter(F.split("label_key", " "), lambda w: F.length(w) > 1)).alias("w"))
-    e = p.select("entity_id", F.size("w").alias("n"), F.explode("w").alias("t"))
-    a, b = e.alias("a"), e.alias("b")
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.entity_id") < F.col("b.entity_id")) & (F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n")))
-    c = pairs.groupBy(F.col("a.entity_id").alias("entity_a"), F.col("b.entity_id").alias("entity_b"), F.col("a.n").alias("x"), F.col("b.n").alias("y")).agg(F.count("*").alias("c"))
-    score = F.col("c") / (F.col("x") + F.col("y") - F.col("c"))
-    return c.filter(score >= least).select("entity_a", "entity_b", F.round(score, 2).alias("score"))
+    """Pairs of entities whose preferred labels fold to one key (1.0), or whose word sets have a Jaccard similarity of at least `least`.
+
+    Each label meets others on its rarest words alone, as many as any similar label must have one of; full sets are
+    compared only for the pairs that meet.
+    """
+    p = labels.filter("role = 'preferred'").select("entity_id", "label_key", "match_key", F.array_distinct(F.filter(F.split("label_key", " "), lambda w: F.length(w) > 1)).alias("w"))
+    e = p.filter(F.size("w") > 0).select("entity_id", "label_key", "w", F.size("w").alias("n"), F.explode("w").alias("t"))
+    often = e.groupBy("t").agg(F.count("*").alias("df"))
+    most = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
+    rare = e.join(often, "t").groupBy("entity_id", "label_key", "n").agg(F.first("w").alias("w"), F.array_sort(F.collect_list(F.struct("df", "t"))).alias("by"))
+    rare = rare.withColumn("t", F.explode(F.transform(F.slice("by", F.lit(1), most), lambda s: s["t"]))).drop("by")
+    a, b = rare.alias("a"), rare.alias("b")
+    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.entity_id") < F.col("b.entity_id")) & (F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n") - 1e-9))
+    both = F.size(F.array_intersect("a.w", "b.w"))
+    scored = pairs.select(F.col("a.entity_id").alias("entity_a"), F.col("b.entity_id").alias("entity_b"), (both / (F.col("a.n") + F.col("b.n") - both)).alias("score")).filter(F.col("score") >= least)
+    folded = fold_collisions(labels).select("entity_a", "entity_b", F.lit(1.0).alias("score"))
+    return scored.unionByName(folded).groupBy("entity_a", "entity_b").agg(F.round(F.max("score"), 2).alias("score"))

@@ -7,12 +7,23 @@ from pyspark.sql import functions as F
 
 
 def sessionize(events: DataFrame, keys: list[str], gap_seconds: int = 1800) -> DataFrame:
-    """events plus session_no: a new session begins where the time since the last event of the key is over the gap."""
-    w = Window.partitionBy(*keys).orderBy("ts", "id")
-    gap = F.col("ts").cast("double") - F.lag("ts").over(w).cast("double")
-    flagged = events.withColumn("_new", F.coalesce((gap > gap_seconds).cast("int"), F.lit(0)))
-    running = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return flagged.withColumn("session_no", running.cast("long")).drop("_new")
+    """events (ts, id, keys) plus session_no: a new session begins where the time since the last event of the key is over the gap.
+
+    Each day of a key is sorted by itself. What the days before it hold (their last event, how many sessions began) comes
+    from a table of one row for each day, so one long log is many tasks.
+    """
+    e = events.withColumn("_day", F.to_date("ts"))
+    w = Window.partitionBy(*keys, "_day").orderBy("ts", "id")
+    over = lambda now, before: F.coalesce((now.cast("double") - before.cast("double") > gap_seconds).cast("int"), F.lit(0))
+    inner = e.withColumn("_new", over(F.col("ts"), F.lag("ts").over(w)))
+    inner = inner.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    days = inner.groupBy(*keys, "_day").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.sum("_new").alias("n"))
+    d = Window.partitionBy(*keys).orderBy("_day")
+    days = days.withColumn("cut", over(F.col("a"), F.lag("b").over(d)))
+    days = days.withColumn("_before", F.sum(F.col("n") + F.col("cut")).over(d.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"d.{k}")) for k in (*keys, "_day")]
+    j = inner.alias("e").join(days.select(*keys, "_day", "_before").alias("d"), same)
+    return j.select("e.*", "d._before").withColumn("session_no", (F.col("_before") + F.col("_run")).cast("long")).drop("_day", "_new", "_run", "_before")
 
 
 def tool_mix(events: DataFrame, keys: list[str], gap_seconds: int = 1800, min_calls: int = 5) -> DataFrame:

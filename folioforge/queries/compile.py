@@ -52,7 +52,7 @@ def clip_cleanup(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(text.without_clip_header(F.col("text")).cast("binary"), 256).alias("text_sha256"))
 
 
-@add("segment_identity", "select doc_id || ':' || i || ':' || left(sha256(substr(text, cast(i * 2000 + 1 as bigint), 2000)), 8) as segment_id, doc_id || ':' || i as identity from documents, range(0, 100) t(i) where i * 2000 < length(text)")
+@add("segment_identity", "select doc_id || ':' || i || ':' || left(sha256(substr(text, cast(i * 2000 + 1 as bigint), 2000)), 8) as segment_id, doc_id || ':' || i as identity from (select *, unnest(range(0, length(text) // 2000 + 1)) as i from documents) where i * 2000 < length(text)")
 def segment_identity(spark, d):
     s = segments.fixed_slices(table(spark, d, "documents"), 2000)
     place = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("ordinal").cast("string"))

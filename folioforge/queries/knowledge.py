@@ -64,8 +64,8 @@ def edges(spark, d):
     x = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
     a, b = x.alias("a"), x.alias("b")
     n = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_partkey") < F.col("b.l_partkey"))).groupBy(F.col("a.l_partkey").alias("a"), F.col("b.l_partkey").alias("b")).agg(F.count("*").alias("n"))
-    top = n.agg(F.max("n").alias("top"))
-    return n.join(F.broadcast(top)).select("a", "b", F.round(F.col("n") / F.col("top"), 6).alias("confidence"))
+    top = n.agg(F.max("n")).first()[0]  # one value
+    return n.select("a", "b", F.round(F.col("n") / F.lit(top), 6).alias("confidence"))
 
 
 EDGES = """(select a, b, round(n / max(n) over (), 6) as confidence from (select x.l_partkey as a, y.l_partkey as b, count(*) as n
@@ -101,19 +101,22 @@ def content_words(spark, d):
     return docs(spark, d).select("doc_id", text.content_words(F.col("text")).alias("words"))
 
 
-@add("first_paragraph", "select doc_id, left(trim(list_extract(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' and not starts_with(x, '#')), 1)), 200) as summary from documents")
+@add("first_paragraph", r"""with l as (select doc_id, list_transform(list_filter(regexp_split_to_array(text, '\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: not regexp_matches(trim(x, ' ' || chr(9)), '^#{1,6}[ \t]')), lambda x: trim(x, ' ' || chr(9))) as lines from documents),
+c as (select doc_id, list_extract(list_filter(list_transform(lines, lambda x: trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(x, '\[\[(?:[^\]|]+\|)?([^\]]+)\]\]', '\1', 'g'), '\[S\d+\]\(#[^)]+\)', '', 'g'), '[*_]{1,2}([^*_]+)[*_]{1,2}', '\1', 'g')), '\s+([.,;:])', '\1', 'g'), '\s{2,}', ' ', 'g'))), lambda x: x <> ''), 1) as line from l),
+s as (select doc_id, line, regexp_extract(left(line, 250), '(?s)^(.*?[.!?])(?:\s|$)', 1) as sentence, regexp_replace(regexp_replace(left(line, 200), ' [^ ]*$', ''), '[.,;:]+$', '') as words from c)
+select doc_id, case when length(line) <= 200 then line when length(sentence) > 20 then sentence when words <> '' then words || chr(8230) end as summary from s""")
 def first_paragraph(spark, d):
     return docs(spark, d).select("doc_id", text.first_paragraph(F.col("text")).alias("summary"))
 
 
-@add("fixed_slices", "select doc_id, cast(i as int) as ordinal, substr(text, cast(i * 2000 + 1 as bigint), 2000) as text from documents, range(0, 100) t(i) where i * 2000 < length(text)")
+@add("fixed_slices", "select doc_id, cast(i as int) as ordinal, substr(text, cast(i * 2000 + 1 as bigint), 2000) as text from (select *, unnest(range(0, length(text) // 2000 + 1)) as i from documents) where i * 2000 < length(text)")
 def fixed_slices(spark, d):
     return segments.fixed_slices(docs(spark, d), 2000)
 
 
 @add("word_windows", """with p as (select doc_id, string_split(replace(text, chr(10) || '## ', chr(1) || '## '), chr(1)) as parts from documents),
 s as (select doc_id, cast(k - 1 as int) as part, list_filter(regexp_split_to_array(parts[k], '[ \\n\\t\\r]+'), lambda w: w <> '') as w from (select *, unnest(range(1, len(parts) + 1)) as k from p))
-select doc_id, part, cast(i as int) as "window", array_to_string(w[i * 462 + 1 : i * 462 + 512], ' ') as text from s, range(0, 100) t(i) where i * 462 < len(w)""")
+select doc_id, part, cast(i as int) as "window", array_to_string(w[i * 462 + 1 : i * 462 + 512], ' ') as text from (select *, unnest(range(0, len(w) // 462 + 1)) as i from s) where i * 462 < len(w)""")
 def word_windows(spark, d):
     return segments.word_windows(docs(spark, d))
 
@@ -190,12 +193,18 @@ def alias_map(spark, d):
     return identity.alias_map(labels(spark, d))
 
 
-@add("merge_suggestions", f"""with p as (select entity_id, list_distinct(list_filter(string_split(label_key, ' '), lambda w: length(w) > 1)) as w from {LABELS} where role = 'preferred'),
-s as (select a.entity_id as entity_a, b.entity_id as entity_b, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) as score from p a join p b on a.entity_id < b.entity_id)
-select entity_a, entity_b, round(score, 2) as score from s where score >= 0.3""")
+LONG_NAME = "p_brand || ' ' || p_type || ' ' || p_name || ' ' || p_size"
+
+
+@add("merge_suggestions", f"""with k as (select p_partkey as entity_id, {key_sql(LONG_NAME)} as label_key, {fold_sql(LONG_NAME)} as match_key from part),
+p as (select *, list_distinct(list_filter(string_split(label_key, ' '), lambda w: length(w) > 1)) as w from k),
+s as (select a.entity_id as entity_a, b.entity_id as entity_b, case when a.match_key = b.match_key and a.label_key <> b.label_key then 1.0 else len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) end as score from p a join p b on a.entity_id < b.entity_id)
+select entity_a, entity_b, round(score, 2) as score from s where score >= 0.7""")
 def merge_suggestions(spark, d):
-    """Part names are of two words, so a third is the similarity of any two that share one."""
-    return identity.merge_suggestions(labels(spark, d), 0.3)
+    """Each part is a concept, named by brand, type, name and size."""
+    name = F.concat_ws(" ", "p_brand", "p_type", "p_name", F.col("p_size").cast("string"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), name.alias("label"), F.lit("preferred").alias("role"))
+    return identity.merge_suggestions(identity.keyed(p))
 
 
 @add("relations_upsert", f"select left(sha256({key_sql('p_type')} || ':uses:' || {key_sql('p_name')}), 16) as relation_id, max(least(greatest(p_size / 40.0, 0.0), 1.0)) as confidence, count(*) as evidence from part group by 1")
@@ -227,14 +236,9 @@ def article_search(spark, d):
 
 @add("benchmark_mentions", "select item_id, count(*) as documents from benchmark b join documents d on contains(d.text, b.text) group by 1")
 def benchmark_mentions(spark, d):
-    """Documents that hold an evaluation passage: joined on its first five words, then confirmed on the text."""
-    words = lambda c: F.split(c, " ")
+    """Documents that hold an evaluation passage."""
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("phrase"))
-    b = b.withColumn("n", F.least(F.lit(5), F.size(words("phrase")))).withColumn("k", F.array_join(F.slice(words("phrase"), F.when(F.size(words("phrase")) > 3, 2).otherwise(1), 2), " "))
-    t = docs(spark, d).withColumn("w", F.split("text", "[ \\n]"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 2), " ")))
-    t = t.select("doc_id", "text", F.explode(grams).alias("k"))
-    return t.join(b, "k").filter(F.col("text").contains(F.col("phrase"))).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
+    return relations.mentions(docs(spark, d), b).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
 @add("note_confidence", "select source, least(1.0, 0.25 * count(distinct doc_id) + max(case quality when 1 then 0.25 when 0 then 0.0 else 0.1 end)) as confidence from documents left join labels using (doc_id) group by source")

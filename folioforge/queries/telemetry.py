@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import short_hash
 from folioforge.operators import sessions
-from folioforge.sources import metric_events
+from folioforge.sources import metric_events, table
 
 
 def session_tool_mix(spark, sf_dir):
-    """One vault for the whole log, as where each vault keeps a log of its own; partitioned by day would cut sessions."""
+    """One vault for the whole log, as where each vault keeps a log of its own."""
     e = metric_events(spark, sf_dir).withColumn("vault_id", F.lit(1))
     return sessions.tool_mix(e, ["vault_id"]).drop("vault_id")
 
@@ -51,10 +52,17 @@ def zero_result_queries(spark, sf_dir):
     return e.groupBy("tool", "label").agg(F.count("*").alias("calls")).orderBy(F.desc("calls"), "tool", "label").limit(20)
 
 
-@_q("single_source_demand", "select json_extract_string(props, '$.k') as label, count(*) as calls from events group by 1 having count(distinct event_type) = 1 or count(distinct user_id) < 10")
+@_q("single_source_demand", """with c as (select cast(doc_id % 100 as varchar) as name from documents group by 1 having count(distinct source) = 1),
+e as (select event_id, case when event_id % 2 = 0 then left(sha256(json_extract_string(props, '$.k')), 8) else json_extract_string(props, '$.k') end as label from events)
+select name as concept, count(*) as calls from e join c on label = name or label = left(sha256(name), 8) group by 1 order by calls desc, concept limit 20""")
 def single_source_demand(spark, sf_dir):
-    e = metric_events(spark, sf_dir)
-    return e.groupBy("label").agg(F.count("*").alias("calls"), F.countDistinct("tool").alias("t"), F.countDistinct("vault_id").alias("v")).filter("t = 1 or v < 10").select("label", "calls")
+    """The most asked concepts with one distinct source; a label is a name or its hash."""
+    name = (F.col("doc_id") % 100).cast("string")
+    one = table(spark, sf_dir, "documents").groupBy(name.alias("concept")).agg(F.countDistinct("source").alias("n")).filter("n = 1")
+    keys = one.select("concept", F.explode(F.array(F.col("concept"), short_hash(F.col("concept")))).alias("label"))
+    asked = F.when(F.col("id") % 2 == 0, short_hash(F.col("label"))).otherwise(F.col("label"))
+    e = metric_events(spark, sf_dir).select(asked.alias("label"))
+    return e.join(keys, "label").groupBy("concept").agg(F.count("*").alias("calls")).orderBy(F.desc("calls"), "concept").limit(20)
 
 
 @_q("repeat_weak_queries", "select event_type as tool, left(sha256(json_extract_string(props, '$.k')), 8) as label_hash, count(*) as calls from events where value < 10 group by 1, 2 having count(*) >= 2")
@@ -66,8 +74,8 @@ def repeat_weak_queries(spark, sf_dir):
 @_q("retention", "select event_id as id from events where ts >= (select max(ts) from events) - interval 7 day")
 def retention(spark, sf_dir):
     e = metric_events(spark, sf_dir)
-    last = e.agg(F.max("ts").alias("last"))
-    return e.join(F.broadcast(last), F.col("ts") >= F.col("last") - F.expr("interval 7 days")).select("id")
+    last = e.agg(F.max("ts")).first()[0]  # one value
+    return e.filter(F.col("ts") >= F.lit(last) - F.expr("interval 7 days")).select("id")
 
 
 @_q("size_cap", "select event_id as id from (select event_id, row_number() over (order by ts, event_id) as k, count(*) over () as n from events) where k > n // 10")
