@@ -68,15 +68,17 @@ def follow_merges(merges: DataFrame, rounds: int = 40) -> DataFrame:
 def merge_suggestions(labels: DataFrame, least: float = 0.7) -> DataFrame:
     """Pairs of entities whose preferred labels fold to one key (1.0), or whose word sets have a Jaccard similarity of at least `least`.
 
-    Each label meets others on its rarest words alone, as many as any similar label must have one of; full sets are
-    compared only for the pairs that meet.
+    Each label meets others on pairs of its rarest words alone, taken from so many that any similar label has two of them
+    (a label of one word on that word); full sets are compared only for the labels that meet.
     """
     p = labels.filter("role = 'preferred'").select("entity_id", "label_key", "match_key", F.array_distinct(F.filter(F.split("label_key", " "), lambda w: F.length(w) > 1)).alias("w"))
     e = p.filter(F.size("w") > 0).select("entity_id", "label_key", "w", F.size("w").alias("n"), F.explode("w").alias("t"))
     often = e.groupBy("t").agg(F.count("*").alias("df"))
-    most = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
-    rare = e.join(often, "t").groupBy("entity_id", "label_key", "n").agg(F.first("w").alias("w"), F.array_sort(F.collect_list(F.struct("df", "t"))).alias("by"))
-    rare = rare.withColumn("t", F.explode(F.transform(F.slice("by", F.lit(1), most), lambda s: s["t"]))).drop("by")
+    most = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 2).cast("int")
+    rare = e.join(often, "t").groupBy("entity_id", "label_key", "n").agg(F.first("w").alias("w"), F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda s: s["t"]).alias("by"))
+    rare = rare.withColumn("by", F.slice("by", F.lit(1), F.least(most, F.col("n"))))
+    two = F.flatten(F.transform("by", lambda x, i: F.transform(F.slice("by", i + 2, F.size("by")), lambda y: F.concat(x, F.lit(" "), y))))
+    rare = rare.withColumn("t", F.explode(F.when(F.col("n") == 1, F.col("by")).otherwise(two))).drop("by")
     a, b = rare.alias("a"), rare.alias("b")
     pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.entity_id") < F.col("b.entity_id")) & (F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n") - 1e-9))
     both = F.size(F.array_intersect("a.w", "b.w"))

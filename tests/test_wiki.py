@@ -93,3 +93,17 @@ def test_changed_notes_stream(spark, tmp_path):
 def test_stream_sessions_are_the_batch_ones(spark):
     e = spark.createDataFrame([("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 00:29:59"), ("u", "2024-01-01 01:30:00"), ("v", "2024-01-01 00:10:00")], "user string, t string").selectExpr("user", "cast(t as timestamp) as ts")
     assert sorted((r.user, r.calls) for r in streaming.sessions(e, ["user"]).collect()) == [("u", 1), ("u", 2), ("v", 1)]
+
+
+def test_similar_names_equal_all_pairs(spark):
+    import random
+
+    from folioforge.operators import identity
+
+    rng = random.Random(4)
+    names = [" ".join(rng.sample([f"w{k}" for k in range(12)], rng.randint(1, 8))) for _ in range(150)] + ["a b", "x"]
+    d = spark.createDataFrame([(i, n, "preferred") for i, n in enumerate(names)], "entity_id int, label string, role string")
+    got = {(r.entity_a, r.entity_b): r.score for r in identity.merge_suggestions(identity.keyed(d)).collect()}
+    sets = [{w for w in n.split() if len(w) > 1} for n in names]
+    want = {(i, j): round(len(a & b) / len(a | b), 2) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a | b and 10 * len(a & b) >= 7 * len(a | b)}
+    assert {k: v for k, v in got.items()} == want
