@@ -14,6 +14,8 @@ import unicodedata
 
 import numpy as np
 
+from folioforge.llm.common import release
+
 LIMIT = 0x300
 _SEP = 0
 _SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0)
@@ -50,6 +52,7 @@ class PreTokenEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        release()  # what parsing the file took
         added = list(self.tokenizer.get_added_tokens_decoder().values())
         self.added = re.compile("|".join(re.escape(t.content) for t in added) or "(?!)", re.IGNORECASE if any(t.normalized for t in added) else 0)
         self.keep_spaces, self.limit, self.block_chars = keep_spaces, cache, block_chars
@@ -59,10 +62,28 @@ class PreTokenEncoder:
         self.base = 0x9E3779B97F4A7C15
         self.inverse = pow(self.base, -1, 2**64)
         self.powers = self.inverses = np.ones(1, dtype=np.uint64)
-        self.cache: dict[int, bytes] = {}
+        self._forget()
         self.tokenizer.model._resize_cache(0)  # each pre-token is asked for once
         self.mapped = _byte_letters()
 
+    def _forget(self) -> None:
+        """No pre-token is known: `known` are sorted keys, whose ids lie in `flat` from `begins`, `sizes` of them."""
+        self.known = np.zeros(0, dtype=np.uint64)
+        self.begins = self.sizes = np.zeros(0, dtype=np.int64)
+        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+
+    def _learn(self, keys: np.ndarray, slots: np.ndarray, ids: list[list[int]]) -> None:
+        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        more = np.array([i for x in ids for i in x], dtype=np.uint32)
+        end = self.used + len(more)
+        if end > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.zeros(max(end, 2 * len(self.flat)) - self.used, dtype=np.uint32)))
+        self.flat[self.used : end] = more
+        self.known = np.insert(self.known, slots, keys)
+        self.begins = np.insert(self.begins, slots, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = np.insert(self.sizes, slots, sizes)
+        self.used = end
+
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint32) for e in found]
@@ -113,24 +134,26 @@ class PreTokenEncoder:
         keys = (sums[ends] - sums[starts]) * self.inverses[starts]
         keys ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         distinct, first, where = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        names = distinct.tolist()
-        missing = [k for k, x in enumerate(names) if x not in self.cache]
-        if missing:
+        if len(self.known) > self.limit:
+            self._forget()
+        slot = np.searchsorted(self.known, distinct)
+        new = slot == len(self.known)
+        new[~new] = self.known[slot[~new]] != distinct[~new]
+        missing = np.flatnonzero(new)
+        if len(missing):
             text = points.tobytes()
             model, mapped = self.tokenizer.model, self.mapped
-            for k, s, e in zip(missing, starts[first[missing]].tolist(), ends[first[missing]].tolist()):
+            found = []
+            for s, e in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist()):
                 word = text[4 * s : 4 * e].decode("utf-32-le")
                 word = (word if self.keep_spaces else word.lower()).encode().decode("latin-1").translate(mapped)
-                self.cache[names[k]] = np.array([x.id for x in model.tokenize(word)], dtype=np.uint32).tobytes()
-        parts = [self.cache[x] for x in names]
-        flat = np.frombuffer(b"".join(parts), dtype=np.uint32)
-        sizes = np.array([len(x) >> 2 for x in parts], dtype=np.int64)
-        begins = np.cumsum(sizes) - sizes
-        counts = sizes[where]
+                found.append([x.id for x in model.tokenize(word)])
+            self._learn(distinct[missing], slot[missing], found)
+            slot = np.searchsorted(self.known, distinct)
+        counts = self.sizes[slot][where]
+        begins = self.begins[slot][where]
         at = np.cumsum(counts)
-        ids = flat[np.repeat(begins[where] - at + counts, counts) + np.arange(at[-1] if len(at) else 0)]
+        ids = self.flat[np.repeat(begins - at + counts, counts) + np.arange(at[-1] if len(at) else 0)]
         # documents end at separators: ids before the first pre-token that starts after each
         stops = np.searchsorted(starts, np.flatnonzero(points == 0))
         edges = np.concatenate(([0], np.concatenate(([0], at))[stops]))

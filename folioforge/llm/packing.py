@@ -64,7 +64,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PreTokenEncoder(vocabulary, keep_spaces=False)
         end = np.array([end_id], dtype=np.uint32)
-        for batch in portions(batches, 1):
+        for batch in portions(batches, 1, 64 << 10):
             ids = batch.column(0).to_pylist()
             cols: list[list] = [[], [], [], [], []]
             for doc, got in zip(ids, encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
