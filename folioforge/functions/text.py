@@ -275,3 +275,30 @@ def bibliography(c: Column) -> tuple[Column, Column, Column]:
     none = lambda x: F.nullif(x, F.lit(""))
     first = F.get(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 0)
     return first, none(F.regexp_extract(c, r"(10\.\d{4,}/\S+)", 1)), none(F.regexp_extract(c, r"(?:^|[^0-9])((?:19|20)\d\d)(?:[^0-9]|$)", 1))
+
+
+#: What counts as an equation, in the order in which they are numbered.
+EQUATIONS = (r"(?s)\$\$.+?\$\$", r"(?s)\\\[.+?\\\]", r"(?s)\\\(.+?\\\)", r"\\(?:frac|sum|int|prod|sqrt|begin)\b")
+
+
+def equations(c: Column, page: Column) -> Column:
+    """References eq-<page>-<number> of the equations on a page, from 0."""
+    n = sum((F.regexp_count(c, F.lit(p)) for p in EQUATIONS), F.lit(0))
+    return F.transform(F.slice(F.sequence(F.lit(0), n), 1, n), lambda k: F.concat_ws("-", F.lit("eq"), page.cast("string"), k.cast("string")))
+
+
+def title_aliases(title: Column, body: Column) -> Column:
+    """The title in lower case, if that differs, and abbreviations that stand in brackets after it in the body; sorted."""
+    literal = F.concat(F.lit(r"\Q"), F.replace(title, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\s*\(([A-Z]{2,})\)"))
+    found = F.regexp_extract_all(body, literal, F.lit(1))
+    return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(F.when(F.lower(title) != title, F.lower(title)))), found)))
+
+
+def without_annotations(c: Column, prefixes: tuple[str, ...]) -> Column:
+    """Without the HTML comments that start with one of the prefixes and a colon."""
+    return F.regexp_replace(c, rf"(?s)<!--\s*(?:{'|'.join(map(re.escape, prefixes))}):.*?-->\n?", "")
+
+
+def with_line_feeds(c: Column) -> Column:
+    """Line feeds for a backslash and n, where a text has two of them or more."""
+    return F.when(F.regexp_count(c, F.lit(r"\\n")) >= 2, F.replace(c, F.lit("\\n"), F.lit("\n"))).otherwise(c)

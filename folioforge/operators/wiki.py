@@ -81,6 +81,17 @@ def orphan_pages(pages: DataFrame) -> DataFrame:
     return pages.filter("kind = 'concept'").select("path").join(linked, "path", "left_anti")
 
 
+def disconnected_drafts(pages: DataFrame) -> DataFrame:
+    """path: drafts that link to no other draft; none if all drafts have one title."""
+    title = F.lower(F.coalesce("title", "stem"))
+    drafts = pages.filter("kind = 'draft'").select("path", title.alias("own"), "body")
+    titles = drafts.select(F.col("own").alias("key")).distinct()
+    several = titles.limit(2).agg(F.count("*") == 2).scalar()
+    to = drafts.select("path", "own", F.explode(links_of(F.col("body"))).alias("target")).select("path", "own", F.lower("target").alias("key")).filter("key != own")
+    linked = to.join(titles, "key", "left_semi").select("path").distinct()
+    return drafts.select("path").join(linked, "path", "left_anti").filter(several)
+
+
 def issues(pages: DataFrame) -> DataFrame:
     """path, issue: everything found on the pages, each issue once for a page."""
     each = lambda rows, issue: rows.select("path", F.lit(issue).alias("issue"))

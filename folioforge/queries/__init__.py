@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioforge.queries import compile, identity, knowledge, telemetry, wiki
+from folioforge.queries import compile, identity, knowledge, telemetry, upkeep, wiki
 
-MODULES = (telemetry, knowledge, compile, wiki, identity)
+MODULES = (telemetry, knowledge, compile, wiki, identity, upkeep)
 
 
 def queries() -> dict:
