@@ -49,9 +49,9 @@ TOPIC = "x as (select 'raw/' || doc_id || '.md' as path, ['high', 'medium', 'low
 STATS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '!\[\[[^\]]*\]\]', ' ', 'g'), '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), 'https?://\S+', ' ', 'g'), '`[^`]*`', ' ', 'g'), '[#>*_\-\[\]()]', ' ', 'g')"
 
 
-@add("suggested_topics", f"""with {TOPIC}, y as (select *, trim(regexp_replace({STATS}, '\\s+', ' ', 'g')) as plain, {key_sql('topic')} as key, {key_sql("path || ' ' || body")} as hay from x)
+@add("fallback_topics", f"""with {TOPIC}, y as (select *, trim(regexp_replace({STATS}, '\\s+', ' ', 'g')) as plain, {key_sql('topic')} as key, {key_sql("path || ' ' || body")} as hay from x)
  select path, topic from y where (length(plain) >= 80 or len(regexp_extract_all(plain, '[\\p{{L}}\\p{{N}}_]{{2,}}')) >= 12) and key <> '' and key <> 'untitled' and key not like 'unknown %' and (quality = 'high' or contains(hay, key))""")
-def suggested_topics(spark, d):
+def fallback_topics(spark, d):
     quality = F.element_at(F.array(*map(F.lit, ("high", "medium", "low"))), (F.col("doc_id") % 3 + 1).cast("int"))
     topics = F.array(F.lit("Zebra quartz"), F.lit("Unknown file"), F.split(body_of(), " ")[0])
     return upkeep.suggested_topics(docs(spark, d).select(F.concat(F.lit("raw/"), name(), F.lit(".md")).alias("path"), quality.alias("quality"), topics.alias("topics"), body_of().alias("body")))

@@ -47,3 +47,7 @@ def test_sessions_split_over_the_gap_only(spark):
     rows = [(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:30:00"), (3, "2024-01-01 01:00:01")]
     e = spark.createDataFrame(rows, "id int, t string").selectExpr("id", "cast(t as timestamp) as ts", "1 as v")
     assert [r.session_no for r in sessionize(e, ["v"]).orderBy("id").collect()] == [0, 0, 1]
+
+
+def test_names_are_used_once():
+    assert len(queries.queries()) == sum(len(m.QUERIES) for m in queries.MODULES)
