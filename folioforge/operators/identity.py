@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from folioforge.functions import text
 
+#: Most words of a label that is compared by sizes, places where it meets labels of one size, entities of a label in a block.
+SHORT, SUBSETS, MEMBERS = 12, 64, 256
+
 
 def keyed(labels: DataFrame) -> DataFrame:
     """labels (entity_id, label, role) plus label_key and match_key."""
@@ -65,23 +73,63 @@ def follow_merges(merges: DataFrame, rounds: int = 40) -> DataFrame:
     return cur.join(left, F.col("final") == F.col("e2"), "left_anti")
 
 
+def _shared(least: float, n: int, m: int) -> int:
+    """Fewest common words of two sets of n and m words with a Jaccard similarity of at least `least`."""
+    return max(1, math.ceil(least / (1 + least) * (n + m) - 1e-9))
+
+
+def _meetings(by: list[str], least: float) -> list[str]:
+    """Where a word set (rarest first) meets similar ones: sizes of a pair, and words that both have; see merge_suggestions."""
+    n, out = len(by), []
+    for m in range(max(1, math.ceil(least * n - 1e-9)), min(SHORT, math.floor(n / least + 1e-9)) + 1) if n <= SHORT else ():
+        o, most = _shared(least, n, m), max(n, m)
+        k = max([min(2, o), *(k for k in range(1, o + 1) if math.comb(most - o + k, k) <= SUBSETS)])
+        out += [" ".join((f"{min(n, m)}.{most}", *c)) for c in itertools.combinations(by[: n - o + k], k)]
+    long = math.ceil(least * (SHORT + 1) - 1e-9)
+    if n >= long:
+        k = min(2, long)
+        out += [" ".join(("long", *c)) for c in itertools.combinations(by[: n - math.ceil(least * n - 1e-9) + k], k)]
+    return out
+
+
 def merge_suggestions(labels: DataFrame, least: float = 0.7) -> DataFrame:
     """Pairs of entities whose preferred labels fold to one key (1.0), or whose word sets have a Jaccard similarity of at least `least`.
 
-    Each label meets others on pairs of its rarest words alone, taken from so many that any similar label has two of them
-    (a label of one word on that word); full sets are compared only for the labels that meet.
+    Labels are compared once however many entities have them; their entities are paired at the end, in blocks. Two labels
+    of up to SHORT words with sizes n and m share at least o words, so they meet on k words among the n - o + k (m - o + k)
+    rarest ones of each; mostly k is o, and only similar labels meet. Longer labels meet on pairs of their rarest words.
+    Labels that meet at several places are scored at the one of their first common words.
     """
-    p = labels.filter("role = 'preferred'").select("entity_id", "label_key", "match_key", F.array_distinct(F.filter(F.split("label_key", " "), lambda w: F.length(w) > 1)).alias("w"))
-    e = p.filter(F.size("w") > 0).select("entity_id", "label_key", "w", F.size("w").alias("n"), F.explode("w").alias("t"))
-    often = e.groupBy("t").agg(F.count("*").alias("df"))
-    most = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 2).cast("int")
-    rare = e.join(often, "t").groupBy("entity_id", "label_key", "n").agg(F.first("w").alias("w"), F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda s: s["t"]).alias("by"))
-    rare = rare.withColumn("by", F.slice("by", F.lit(1), F.least(most, F.col("n"))))
-    two = F.flatten(F.transform("by", lambda x, i: F.transform(F.slice("by", i + 2, F.size("by")), lambda y: F.concat(x, F.lit(" "), y))))
-    rare = rare.withColumn("t", F.explode(F.when(F.col("n") == 1, F.col("by")).otherwise(two))).drop("by")
-    a, b = rare.alias("a"), rare.alias("b")
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.entity_id") < F.col("b.entity_id")) & (F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n") - 1e-9))
-    both = F.size(F.array_intersect("a.w", "b.w"))
-    scored = pairs.select(F.col("a.entity_id").alias("entity_a"), F.col("b.entity_id").alias("entity_b"), (both / (F.col("a.n") + F.col("b.n") - both)).alias("score")).filter(F.col("score") >= least)
-    folded = fold_collisions(labels).select("entity_a", "entity_b", F.lit(1.0).alias("score"))
-    return scored.unionByName(folded).groupBy("entity_a", "entity_b").agg(F.round(F.max("score"), 2).alias("score"))
+    preferred = labels.filter("role = 'preferred'")
+    parts = max(int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")), labels.sparkSession.sparkContext.defaultParallelism)
+    keys = F.first(F.struct("label_key", "match_key")).alias("k")  # not the grouping columns, so that every use below reads one exchange
+    p = preferred.filter("label_key is not null and entity_id is not null").groupBy("label_key", "match_key").agg(keys, F.sort_array(F.collect_set("entity_id")).alias("all")).select("k.label_key", "k.match_key", "all")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / MEMBERS).cast("int")), lambda i: F.slice("all", i * MEMBERS + 1, MEMBERS))
+    units = p.select("label_key", "match_key", F.explode(blocks).alias("members"))
+    units = units.withColumns({"w": F.array_distinct(F.filter(F.split("label_key", " "), lambda w: F.length(w) > 1)), "id": F.struct(F.array_min("members").alias("e"), F.xxhash64("label_key", "match_key").alias("h"))})
+    words = units.select("id", "label_key", "match_key", "members", F.explode("w").alias("t"))
+    ranked = words.join(words.groupBy("t").agg(F.count("*").alias("df")), "t").groupBy("id").agg(*(F.first(c).alias(c) for c in ("label_key", "match_key", "members")), F.array_sort(F.collect_list(F.struct("df", "t")))["t"].alias("by"))
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def meetings(by: pd.Series) -> pd.Series:
+        return by.map(lambda b: _meetings(list(b), least))
+
+    met = ranked.withColumns({"n": F.size("by"), "at": F.explode(meetings("by"))}).repartition(parts, "at")
+    a, b = met.alias("a"), met.alias("b").hint("merge")
+    folds = F.coalesce(F.col("a.match_key") == F.col("b.match_key"), F.lit(False)) & (F.col("a.label_key") != F.col("b.label_key"))
+    common = F.array_intersect("a.by", "b.by")
+    low, high = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    pairs = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.id") < F.col("b.id")) & (low >= F.lit(least) * high - 1e-9) & ~folds)
+    pairs = pairs.select("a.at", common.alias("common"), F.when(high <= SHORT, F.concat_ws(".", low, high)).otherwise("long").alias("head"), (F.col("a.n") + F.col("b.n")).alias("n"), F.col("a.members").alias("x"), F.col("b.members").alias("y"))
+    first = F.concat_ws(" ", F.array("head"), F.slice("common", F.lit(1), F.size(F.split("at", " ")) - 1))
+    both = F.size("common")
+    scored = pairs.filter(F.col("at") == first).select("x", "y", (both / (F.col("n") - both)).alias("score")).filter(F.col("score") >= least)
+    keyed_once = units.repartition(parts, "match_key")
+    u, v = keyed_once.alias("a"), keyed_once.alias("b").hint("merge")
+    folded = u.join(v, (F.col("a.match_key") == F.col("b.match_key")) & (F.col("a.label_key") != F.col("b.label_key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.members").alias("x"), F.col("b.members").alias("y"), F.lit(1.0).alias("score"))
+    across = scored.unionByName(folded).select(F.round("score", 2).alias("score"), F.explode("x").alias("x"), "y").select("score", "x", F.explode("y").alias("y")).filter("x <> y")
+    within = units.filter((F.size("w") > 0) & (F.size("members") > 1)).select(F.lit(1.0).alias("score"), F.explode("members").alias("x"), F.col("members").alias("y")).repartition(parts, "x").select("score", "x", F.explode("y").alias("y")).filter("x < y")
+    out = across.unionByName(within).select(F.least("x", "y").alias("entity_a"), F.greatest("x", "y").alias("entity_b"), "score")
+    if preferred.groupBy("entity_id").count().filter("count > 1").isEmpty():
+        return out
+    return out.groupBy("entity_a", "entity_b").agg(F.max("score").alias("score"))

@@ -2,6 +2,7 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioforge import streaming
@@ -107,3 +108,37 @@ def test_similar_names_equal_all_pairs(spark):
     sets = [{w for w in n.split() if len(w) > 1} for n in names]
     want = {(i, j): round(len(a & b) / len(a | b), 2) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a | b and 10 * len(a & b) >= 7 * len(a | b)}
     assert {k: v for k, v in got.items()} == want
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.7, 0.9])
+def test_similar_names_with_copies_long_names_and_several_labels(spark, monkeypatch, least):
+    import random
+
+    from folioforge.operators import identity
+
+    monkeypatch.setattr(identity, "MEMBERS", 4)
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(24)]
+    names = [" ".join(rng.sample(words[: rng.choice((6, 24))], rng.randint(1, 6))) for _ in range(50)] + [" ".join(rng.sample(words, rng.randint(9, 20))) for _ in range(40)]
+    names += [names[0]] * 10 + ["w1", "w1 w2", "w2 w1", "berry x", "berries x", "", None, "a b"]
+    rows = [(i, n) for i, n in enumerate(names)] + [(1, "w3 w4"), (2, "w4 w3"), (3, names[4]), (None, "w1")]
+    d = spark.createDataFrame([(i, n, "preferred") for i, n in rows], "entity_id int, label string, role string")
+    got = [((r.entity_a, r.entity_b), r.score) for r in identity.merge_suggestions(identity.keyed(d), least).collect()]
+    want = {}
+    for i, n in rows:
+        for j, m in rows:
+            if None not in (i, j, n, m) and i < j:
+                a, b = ({w for w in x.split() if len(w) > 1} for x in (n, m))
+                score = 1.0 if {n, m} == {"berry x", "berries x"} else len(a & b) / len(a | b) if a | b else 0.0
+                if score >= least:
+                    want[i, j] = max(want.get((i, j), 0.0), round(score, 2))
+    assert len(got) == len(want) and {k: pytest.approx(v, abs=0.0101) for k, v in want.items()} == dict(got)
+
+
+def test_merge_suggestions_pair_copies_without_comparing_them(spark, tmp_path):
+    from folioforge.queries import knowledge
+
+    d = spark.createDataFrame([(i, "old rod", "Brand#12", "SMALL", 10) for i in range(300)] + [(900, "old rod", None, "SMALL", 10), (901, "old rod", None, "SMALL", 10)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    d.write.parquet(str(tmp_path / "part.parquet"))
+    got = knowledge.merge_suggestions(spark, str(tmp_path)).collect()
+    assert len(got) == len(set(map(tuple, got))) == 300 * 299 // 2 and all(r.entity_a < r.entity_b < 300 and r.score == 1.0 for r in got)
