@@ -51,17 +51,33 @@ def verdict(worst: Column, mean: Column, links: Column, orphans: Column, lint: C
 def split_suggestions(sources: DataFrame, least_sources: int = 3, low: float = 0.05, mean: float = 0.1) -> DataFrame:
     """sources (concept, source, words: array): concepts that hold a pair of sources with almost no common word, though they share some.
 
-    Pairs are counted, not made, where they have no word in common: the number of pairs follows from the number of
-    sources, and only pairs with a common word are joined, within a concept.
+    Pairs are counted, not made: their number follows from the number of sources, and word sets are compared once within a
+    concept however many sources have them, if they share a word. Rows of one source are not paired, nor rows without one.
     """
-    s = sources.filter(F.size("words") > 0).select("concept", "source", F.array_distinct("words").alias("words"))
-    n = s.groupBy("concept").agg(F.count("*").alias("n")).filter(F.col("n") >= least_sources)
-    e = s.join(n, "concept").select("concept", "n", "source", F.size("words").alias("size"), F.explode("words").alias("word"))
+    s = sources.filter(F.size("words") > 0).select("concept", "source", F.array_sort(F.array_distinct("words")).alias("words"))
+    rows = s.groupBy("concept", "source").agg(F.count("*").alias("r"))
+    named = F.when(F.col("source").isNotNull(), F.col("r")).otherwise(0)
+    n = rows.groupBy("concept").agg(F.sum("r").alias("n"), ((F.sum(named) * F.sum(named) - F.sum(named * named)) / 2).alias("every")).filter((F.col("n") >= least_sources) & (F.col("every") > 0))
+    both = F.size(F.array_intersect("a.words", "b.words"))
+    score = both / (F.size("a.words") + F.size("b.words") - both)
+
+    known = s.filter("source is not null")
+    sets = known.groupBy("concept", "words").agg(F.count("*").alias("r"), F.min("source").alias("first"), F.max("source").alias("last"))
+    e = sets.select("*", F.explode("words").alias("word"))
     a, b = e.alias("a"), e.alias("b")
-    c = a.join(b, (F.col("a.concept") == F.col("b.concept")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.source") < F.col("b.source")))
-    c = c.groupBy(F.col("a.concept").alias("concept"), F.col("a.n").alias("n"), F.col("a.source"), F.col("b.source"), F.col("a.size").alias("x"), F.col("b.size").alias("y")).agg(F.count("*").alias("both"))
-    score = F.col("both") / (F.col("x") + F.col("y") - F.col("both"))
-    g = c.groupBy("concept", "n").agg(F.count("*").alias("pairs"), F.min(score).alias("least"), F.sum(score).alias("total"))
-    every = F.col("n") * (F.col("n") - 1) / 2
-    g = g.withColumn("least", F.when(F.col("pairs") < every, 0.0).otherwise(F.col("least"))).withColumn("mean", F.col("total") / every)
+    met = a.join(b, (F.col("a.concept") == F.col("b.concept")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.words") < F.col("b.words")))
+    met = met.filter(F.col("a.word") == F.array_intersect("a.words", "b.words")[0])
+    several = (F.least("a.first", "b.first") < F.greatest("a.last", "b.last")).alias("several")
+    across = met.select("a.concept", (F.col("a.r") * F.col("b.r")).alias("pairs"), score.alias("score"), several)
+    within = sets.select("concept", (F.col("r") * (F.col("r") - 1) / 2).alias("pairs"), F.lit(1.0).alias("score"), (F.col("first") < F.col("last")).alias("several"))
+
+    again = known.join(rows.filter("r > 1").select("concept", "source"), ["concept", "source"], "left_semi").groupBy("concept", "source", "words").agg(F.count("*").alias("r"))
+    a, b = again.alias("a"), again.alias("b")
+    own = a.join(b, (F.col("a.concept") == F.col("b.concept")) & (F.col("a.source") == F.col("b.source")) & (F.col("a.words") <= F.col("b.words")))
+    twin = F.col("a.words") == F.col("b.words")
+    own = own.select("a.concept", F.when(twin, F.col("a.r") * (F.col("a.r") - 1) / 2).otherwise(F.col("a.r") * F.col("b.r")).alias("pairs"), score.alias("score"), F.lit(False).alias("several")).filter("score > 0")
+
+    c = across.unionByName(within).unionByName(own.withColumn("pairs", -F.col("pairs")))
+    g = c.groupBy("concept").agg(F.sum("pairs").alias("pairs"), F.min(F.when(F.col("several"), F.col("score"))).alias("least"), F.sum(F.col("pairs") * F.col("score")).alias("total")).join(n, "concept")
+    g = g.withColumn("least", F.when(F.col("pairs") < F.col("every"), 0.0).otherwise(F.col("least"))).withColumn("mean", F.col("total") / F.col("every"))
     return g.filter((F.col("least") < low) & (F.col("mean") > mean)).select("concept", F.round("least", 2).alias("least"), F.round("mean", 2).alias("mean"))

@@ -275,7 +275,7 @@ x as (select concept, count(*) over (partition by concept) as n, source, w from
 select concept, round(min(j), 2) as least, round(avg(j), 2) as mean from pr group by 1 having min(j) < 0.05 and avg(j) > 0.1""")
 def split_suggestions(spark, d):
     p = table(spark, d, "part")
-    words = F.filter(F.split(F.lower(F.concat_ws(" ", "p_type", "p_brand", "p_name")), " "), lambda w: (F.length(w) > 3) & ~F.array_contains(F.split("p_name", " "), w))
+    words = F.filter(F.split(F.lower(F.concat("p_type", F.lit(" "), "p_brand", F.lit(" "), "p_name")), " "), lambda w: (F.length(w) > 3) & ~F.array_contains(F.split("p_name", " "), w))
     return quality.split_suggestions(p.select(F.col("p_name").alias("concept"), F.col("p_partkey").alias("source"), words.alias("words")))
 
 

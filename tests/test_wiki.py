@@ -142,3 +142,28 @@ def test_merge_suggestions_pair_copies_without_comparing_them(spark, tmp_path):
     d.write.parquet(str(tmp_path / "part.parquet"))
     got = knowledge.merge_suggestions(spark, str(tmp_path)).collect()
     assert len(got) == len(set(map(tuple, got))) == 300 * 299 // 2 and all(r.entity_a < r.entity_b < 300 and r.score == 1.0 for r in got)
+
+
+def test_splits_equal_all_pairs_also_with_repeated_and_missing_sources(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(c, rng.choice([None, *range(rng.choice((2, 60)))]), [rng.choice("abcdef") for _ in range(rng.choice((0, 1, 1, 2)))]) for c in "pqrstuv" for _ in range(rng.choice((3, 8, 40)))]
+    rows += [("one", 1, ["a"]), ("one", 1, ["a", "b"]), ("one", 1, ["c"]), ("two", 1, ["a"]), ("two", 1, ["a"]), ("two", 2, ["b"]), ("six", 1, ["a", "b"]), ("six", 1, ["a"]), ("six", 2, ["a", "b"]), (None, 1, ["a"]), ("none", 3, None)]
+    want = {}
+    for c in {r[0] for r in rows} - {None}:
+        held = [(s, set(w)) for k, s, w in rows if k == c and w]
+        scores = [len(x & y) / len(x | y) for i, (s, x) in enumerate(held) for t, y in held[:i] if None not in (s, t) and s != t]
+        if len(held) >= 3 and scores and min(scores) < 0.6 and sum(scores) / len(scores) > 0.05:
+            want[c] = (pytest.approx(min(scores), abs=0.0051), pytest.approx(sum(scores) / len(scores), abs=0.0051))
+    d = spark.createDataFrame(rows, "concept string, source int, words array<string>")
+    got = {r.concept: (r.least, r["mean"]) for r in quality.split_suggestions(d, 3, 0.6, 0.05).collect()}
+    assert len(want) > 4 and got == want
+
+
+def test_split_suggestions_count_copies_of_word_sets(spark, tmp_path):
+    from folioforge.queries import wiki as registered
+
+    d = spark.range(150000).selectExpr("id as p_partkey", "'old rod' as p_name", "if(id % 2 = 0, 'Brand#1', 'Brand#2') as p_brand", "if(id % 3 = 0, 'SMALL', 'LARGE') as p_type")
+    d.unionByName(spark.sql("select 200000L as p_partkey, 'old rod' as p_name, cast(null as string) as p_brand, 'PROMO' as p_type")).write.parquet(str(tmp_path / "part.parquet"))
+    assert [tuple(r) for r in registered.split_suggestions(spark, str(tmp_path)).collect()] == [("old rod", 0.0, 0.44)]
