@@ -1,17 +1,19 @@
 """A training corpus from documents: language, exact and near copies, source mix, packing.
 
 Each stage works on all rows the one before kept, and is written and read again before the next; what it wrote on the way
-is deleted then. All columns of documents stay, whatever their names, up to the last stage, which gives pieces. Null and
+is deleted then. Before a stage the executors give back the heap that the one before it took. All columns of documents stay, whatever their names, up to the last stage, which gives pieces. Null and
 empty texts have no language and go in the first stage. Ties, and rows that repeat a doc_id, are told apart as in each
 operator: the first by doc_id, null last, then by text. An empty table gives no rows, stage by stage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm import exact, jaccard, langid, mixing, packing
-from folioforge.llm.common import forget, settled, table
+from folioforge.llm.common import collected, forget, settled, table
 from folioforge.llm.queries import vocabulary
 
 
@@ -40,7 +42,17 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.best_fit(packing.token_pieces(docs, vocabulary("word_bpe_49k.json")))
 
 
-STAGES = [("language", language), ("exact_copies", exact_copies), ("near_copies", near_copies), ("source_mix", source_mix), ("packing", packed)]
+def rested(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, begun on executors whose heaps hold only what is in use."""
+
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collected(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
+STAGES = [(name, rested(stage)) for name, stage in (("language", language), ("exact_copies", exact_copies), ("near_copies", near_copies), ("source_mix", source_mix), ("packing", packed))]
 #: Near copies, the automata and packing are beyond SQL; the tests hold the stages against plain versions.
 ORACLE_SQL = None
 

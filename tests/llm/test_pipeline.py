@@ -35,3 +35,14 @@ def test_stages(spark, texts, tmp_path):  # noqa: F811
             assert abs(sum(size(r.text) for r in docs.collect()) - 1.5 * sum(map(size, left.values()))) < 20
     got = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == {r.doc_id for r in docs.collect()} and all(0 < r.length <= 4096 for r in got)
+
+
+def test_stages_begin_with_heaps_given_back(spark, tmp_path):
+    frame(spark, ["a first text", "a second text"]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if any(x in b.getName() for x in ("Old", "MarkSweep")))
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, str(tmp_path))
+        assert full() > before, name
